@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from newsloom.llm import topn
+from newsloom.llm import encode, packing, splitting, topn
 
-QUERIES: dict = {"p3_found": topn.p3_found}
+QUERIES: dict = {
+    "p3_found": topn.p3_found,
+    "p6_found": splitting.p6_found,
+    "p6_pieces": splitting.p6_pieces,
+    "p7_ids": encode.p7_ids,
+    "p8_containers": packing.p8_containers,
+}
 ORACLES: dict = {}
