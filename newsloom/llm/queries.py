@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from newsloom.llm import encode, packing, splitting, topn
+from newsloom.llm import encode, packing, splitting, topn, truncation
 
 QUERIES: dict = {
     "p3_found": topn.p3_found,
+    "p5_found": truncation.p5_found,
+    "p5_sources": truncation.p5_sources,
+    "p5_limits": truncation.p5_limits,
     "p6_found": splitting.p6_found,
     "p6_pieces": splitting.p6_pieces,
     "p7_ids": encode.p7_ids,
