@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import encode, packing, splitting, topn, truncation
+from newsloom.llm import encode, lookalike, packing, splitting, topn, truncation
 
 QUERIES: dict = {
     "p3_found": topn.p3_found,
@@ -13,5 +13,8 @@ QUERIES: dict = {
     "p6_pieces": splitting.p6_pieces,
     "p7_ids": encode.p7_ids,
     "p8_containers": packing.p8_containers,
+    "p9_found": lookalike.p9_found,
+    "p9_texts": lookalike.p9_texts,
+    "p9_classes": lookalike.p9_classes,
 }
 ORACLES: dict = {}
