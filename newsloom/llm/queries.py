@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from newsloom.llm import encode, lookalike, packing, splitting, topn, truncation
+from newsloom.llm import encode, lookalike, neardup, packing, splitting, topn, truncation
 
 QUERIES: dict = {
     "p3_found": topn.p3_found,
+    "p4_found": neardup.p4_found,
+    "p4_groups": neardup.p4_groups,
     "p5_found": truncation.p5_found,
     "p5_sources": truncation.p5_sources,
     "p5_limits": truncation.p5_limits,
