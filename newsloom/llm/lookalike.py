@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import materialise
+
 # Letters of other scripts and the Latin letters they look like, in the order of the scripts' alphabets.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮҺԚԜаеѕіјорсухүһԁԛԝӏ", "ABESIJKMHOPCTYXYHQWaesijopcyxyhdqwl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿαινορυϲϳ", "ABEZHIKMNOPTYXCJaivopucj"))
@@ -201,7 +203,7 @@ def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Identical texts are no pair; null texts and texts that show nothing are left out. Pairs are found between the different spellings of a look, never between copies,
     and then joined with the documents of each spelling, so that a text with very many copies costs no more than the pairs it has.
     """
-    keys = look_keys(docs, doc_id, text)
+    keys = materialise(look_keys(docs, doc_id, text), "looks")
     spellings = keys.select("look", "exact").distinct()
     several = spellings.groupBy("look").agg(F.min("exact").alias("least"), F.max("exact").alias("most")).where("least <> most").select("look")
     members = keys.join(several, "look", "left_semi")
@@ -215,7 +217,7 @@ def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def alike_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (least doc_id of its look), spellings (different texts of that look) of every text that shows something."""
-    keys = look_keys(docs, doc_id, text)
+    keys = materialise(look_keys(docs, doc_id, text), "looks")
     per_look = keys.groupBy("look").agg(F.min("doc_id").alias("class_id"), F.count_distinct("exact").alias("spellings"))
     return keys.join(per_look, "look").select("doc_id", "class_id", "spellings")
 
