@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from newsloom.llm import encode, lookalike, neardup, packing, splitting, topn, truncation
+from newsloom.llm import encode, history, lookalike, neardup, packing, splitting, topn, truncation
 
 QUERIES: dict = {
+    "p1_found": history.p1_found,
     "p3_found": topn.p3_found,
     "p4_found": neardup.p4_found,
     "p4_groups": neardup.p4_groups,
