@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import STOP_WORDS, squeeze, strip, without_suffix
+from newsloom.session import spread
 
 # Terms that make a text business news, and terms that make it something else.
 BUSINESS = ("revenue", "profit", "loss", "earnings", "shares", "stock", "market", "business", "company", "financial", "investment", "growth", "results")
@@ -37,7 +38,7 @@ def prepared(rows: DataFrame, title: Column, description: Column, name: Column,
     Null titles, descriptions, names, tickers count as empty.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    base = rows.withColumns({"_title": low(title), "_description": low(description), "_whole": low(name), "_short": F.lower(without_suffix(F.coalesce(name, F.lit("")))), "_ticker": low(ticker)})
+    base = spread(rows).withColumns({"_title": low(title), "_description": low(description), "_whole": low(name), "_short": F.lower(without_suffix(F.coalesce(name, F.lit("")))), "_ticker": low(ticker)})
     return base.withColumns({"_text": F.concat("_title", F.lit(" "), "_description"), "_words": F.split(squeeze(F.col("_short")), " ")})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import clean_for_model, estimated_tokens, safe_id, sentences, strip
+from newsloom.session import spread
 
 MOST_TOKENS, OVERLAP_WORDS = 400, 12
 
@@ -13,10 +14,11 @@ MOST_TOKENS, OVERLAP_WORDS = 400, 12
 def prepared(articles: DataFrame) -> DataFrame:
     """Articles with cleaned title and content and full_text, 'title. content'; rows without any text are dropped, null fields are empty, a null source is unknown."""
     title, content = (clean_for_model(F.coalesce(c, F.lit(""))) for c in ("title", "description"))
+    staged = spread(articles).withColumns({"_t": title, "_c": content})
     full = strip(F.concat(F.when(F.col("_t") != "", F.concat("_t", F.lit(". "))).otherwise(""), "_c"))
-    out = articles.withColumns({"_t": title, "_c": content}).withColumn("full_text", full)
-    out = out.where("full_text <> ''").withColumns({"title": F.col("_t"), "content": F.col("_c"), "source": F.coalesce("source", F.lit("unknown")), "published_date": F.coalesce("published", F.lit(""))})
-    return out.drop("_t", "_c")
+    # a generator keeps the filter on the cleaned text from being pushed below it, where the text would be cleaned a second time
+    out = staged.select("*", F.inline(F.array(F.struct(full.alias("full_text"))))).where("full_text <> ''")
+    return out.withColumns({"title": F.col("_t"), "content": F.col("_c"), "source": F.coalesce("source", F.lit("unknown")), "published_date": F.coalesce("published", F.lit(""))}).drop("_t", "_c")
 
 
 def overlap_of(chunk: Column, words: int = OVERLAP_WORDS) -> Column:
@@ -57,7 +59,8 @@ def chunks(articles: DataFrame, keys: list[str], most_tokens: int = MOST_TOKENS)
     The readable id isn't unique; keys and chunk_id are.
     """
     listed = articles.withColumn("_chunks", chunk_texts(F.col("full_text"), most_tokens))
-    rows = listed.select(*keys, "title", "source", "published_date", "link", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_id", "text"))
+    rows = listed.select(*keys, "title", "source", "published_date", "link", F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_id", "text"))
+    rows = rows.where("text is not null")  # an outer generator, as the inner one would compute the chunks once more to filter by their number
     readable = F.concat_ws("_", safe_id(F.col("source")), F.substring(safe_id(F.col("title")), 1, 50), F.col("chunk_id").cast("string"))
     meta = F.struct("source", "published_date", "title", F.concat_ws("/", (F.col("chunk_id") + 1).cast("string"), F.col("total_chunks").cast("string")).alias("chunk_position"), F.col("link").alias("url"))
     return rows.select(*keys, "chunk_id", "total_chunks", readable.alias("id"), "text", meta.alias("metadata"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scores import matched_terms
 from newsloom.functions.text import blank_to_null, search_terms, without_suffix
+from newsloom.session import spread
 
 LIVE_RELEVANCE = 0.7
 
@@ -25,7 +26,9 @@ def relevant(articles: DataFrame, companies: DataFrame, title: str = "article_ti
     """Articles that hold all words of one of their own company's terms, with matched_terms (sorted) and the live relevance."""
     terms = companies.select(F.col("symbol").alias("company_symbol"), match_terms(F.col("symbol"), F.col("company_name")).alias("_terms"))
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
-    hit = articles.join(terms, "company_symbol").withColumn("matched_terms", matched_terms(text, F.col("_terms"))).drop("_terms")
+    hit = spread(articles).join(terms, "company_symbol").withColumn("_text", text)
+    # behind a generator, so that the filter doesn't match all terms a second time
+    hit = hit.select("*", F.inline(F.array(F.struct(matched_terms(F.col("_text"), F.col("_terms")).alias("matched_terms"))))).drop("_terms", "_text")
     return hit.where(F.size("matched_terms") > 0).withColumn("relevance_score", F.lit(LIVE_RELEVANCE))
 
 

@@ -62,3 +62,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Marks df for broadcast only after counting that it has at most max_rows rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where a small input would leave most of them idle; at scale df as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
