@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import lexicon, tokens
-from newsloom.session import shared_dir
+from newsloom.session import materialise, shared_dir
 
 #: Words of the lexicon: a bound on its size, not on the words that are encoded.
 LEXICON_WORDS = 16_384
@@ -53,8 +53,15 @@ def build_lexicon(texts: DataFrame, size: int = LEXICON_WORDS, folder: str = tok
     by a third of the corpus costs one row a partition.
     """
     spark = texts.sparkSession
-    counted = texts.mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    counted = materialise(texts.mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # how many words have at least 2^k occurrences: a few rows, by which only candidates for the lexicon go to the last sort
+    scale = sorted(((int(k), int(c)) for k, c in counted.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()), reverse=True)
+    least, held = 1, 0
+    for k, c in scale:
+        least, held = 2**k, held + c
+        if held >= size:
+            break
+    top = [r[0] for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
     enc = tokens.encoding(folder)
     block = lexicon.pack(lexicon.build({w.encode(): enc.encode_ordinary(w) for w in top}))
     path = shared_dir(spark, "lexicon") + ".bin"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
@@ -23,15 +25,18 @@ def encoding(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> tiktoken.E
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Texts of these characters only are split by the standard library's faster engine, by the same pattern with its classes written out.
+_PLAIN = re.compile(r"[\t\n\r -~¥À-ÖØ-öø-ÿ‐-‧€₹₿]*").fullmatch
+_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=1)
-def splitter():
-    return regex.compile(PATTERN).findall
+def splitter() -> Callable[[str], list[str]]:
+    """A function from a text to the pieces that are merged one by one."""
+    plain, any_text = re.compile(_PLAIN_PATTERN).findall, regex.compile(PATTERN).findall
+
+    def split(text: str) -> list[str]:
+        return plain(text) if _PLAIN(text) else any_text(text)
 
+    return split
 
-def printable(text: str) -> str:
-    """text with lone surrogates, which no UTF-8 column can hold, replaced."""
-    try:
-        text.encode()
-        return text
-    except UnicodeEncodeError:
-        return text.encode(errors="replace").decode()
