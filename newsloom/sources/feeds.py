@@ -30,12 +30,14 @@ def parse_items(documents: DataFrame, xml: str = "xml") -> DataFrame:
     return documents.select(*others, F.from_xml(F.col(xml), FEED_ITEM, {"mode": "PERMISSIVE"}).alias("i")).select(*others, "i.*")
 
 
-def to_articles(items: DataFrame, description_field: Column = F.lit("description"), date_field: Column = F.lit("published"), as_of: str | None = None) -> DataFrame:
+def to_articles(items: DataFrame, description_field: Column | None = None, date_field: Column | None = None, as_of: str | None = None) -> DataFrame:
     """Article rows of feed items; title and link are required.
 
     The description is the field that the source names, else the first filled of summary, description, content. The date is the field named, else published, updated,
     pubDate; published_ts is its instant, as_of where it can't be read.
     """
+    description_field = F.lit("description") if description_field is None else description_field
+    date_field = F.lit("published") if date_field is None else date_field
     pick = lambda name, fields: F.coalesce(*[F.when(name == f, blank_to_null(F.col(f))) for f in fields], F.lit(None).cast("string"))
     text = first_filled(pick(description_field, ("summary", "description", "content")), F.col("summary"), F.col("description"), F.col("content"))
     raw = first_filled(pick(date_field, ("published", "updated", "pubDate")), F.col("published"), F.col("updated"), F.col("pubDate"))
