@@ -57,7 +57,7 @@ def lengths(text: str) -> tuple[int, ...]:
         return n, n, n, html, html + 4 * text.count("'"), json, json, n + lf - crlf, n - crlf
     units = len(text.encode("utf-16-le", "replace")) // 2
     ascii_n = len(text.encode("ascii", "ignore"))
-    return n, len(text.encode("utf-8", "replace")), units, html, html + 4 * text.count("'"), json, json + 5 * (units - ascii_n), n + lf - crlf, n - crlf
+    return n, len(text.encode("utf-8", "replace")), units, html, html + 4 * text.count("'"), json, json + 6 * (units - ascii_n) - (n - ascii_n), n + lf - crlf, n - crlf
 
 
 def strip_signs(text: str) -> tuple[int, bool, bool]:
