@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,25 @@ def session(app: str = "newsloom", master: str | None = None, **conf: str) -> Sp
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
-    return builder.config(map={**defaults, **conf}).getOrCreate()
+    spark = builder.config(map={**defaults, **conf}).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the workers, once per session, wherever they run and whatever their search path is."""
+    context = spark.sparkContext
+    if getattr(context, "_newsloom", False):
+        return
+    block = io.BytesIO()
+    root = Path(__file__).parent
+    with zipfile.ZipFile(block, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = shared_dir(spark, "newsloom") + ".zip"
+    write_bytes(spark, path, block.getvalue())
+    context.addPyFile(path)
+    context._newsloom = True
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -53,6 +74,14 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_bytes(spark: SparkSession, path: str, block: bytes) -> None:
+    """Writes a small file to the shared folder, wherever its file system is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(block)
+    out.close()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
