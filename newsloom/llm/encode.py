@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import lexicon, tokens
-from newsloom.session import materialise, shared_dir
+from newsloom.session import materialise, shared_dir, write_bytes
 
 #: Words of the lexicon: a bound on its size, not on the words that are encoded.
 LEXICON_WORDS = 16_384
@@ -65,11 +65,7 @@ def build_lexicon(texts: DataFrame, size: int = LEXICON_WORDS, folder: str = tok
     enc = tokens.encoding(folder)
     block = lexicon.pack(lexicon.build({w.encode(): enc.encode_ordinary(w) for w in top}))
     path = shared_dir(spark, "lexicon") + ".bin"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    out.write(block)
-    out.close()
+    write_bytes(spark, path, block)
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
 
