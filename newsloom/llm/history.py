@@ -33,6 +33,8 @@ PAIR_WORDS, SINGLE_WORDS = 64, 52
 ORDER_BITS = 16
 #: Conflicts of a batch that one task resolves; more are resolved by rounds of joins.
 ONE_TASK = 1_000_000
+#: Pairs of items with a common fingerprint that a batch may compare at once.
+PAIRS = 100_000_000
 LAST = 2**62
 
 # Parameters that tell where a reader came from.
@@ -263,6 +265,14 @@ class AcceptedStore:
         firsts = batch.where("addr is not null or tset is not null").groupBy("addr", "tset").agg(F.min(F.struct("micros", "id", "grp", "words")).alias("x"))
         items = firsts.select("x.id", "x.grp", "x.micros", "addr", "tset", "x.words")
         items = materialise(self._printed(items, order), "items")
+        out = bare
+        for accepted in self._take(items):
+            out = out.union(accepted.select("id"))
+        return out
+
+    def _take(self, items: DataFrame) -> list[DataFrame]:
+        """The accepted of items, which are appended to the store. Items that share so many fingerprints among themselves that their pairs would outgrow
+        the batch are taken in two halves, earlier first: what the first half leaves in the store then answers for the second."""
         keys = items.select("id", F.explode("prints").alias("print"), F.lit(False).alias("whole")).union(
             items.select("id", F.explode(F.array_compact(F.array("addr", "tset"))), F.lit(True))).select("print", "id", "whole")
         before = self.table("items")
@@ -274,13 +284,27 @@ class AcceptedStore:
             alike = self._verified(met.where("not whole").select("id", "accepted"), items, before)
             repeats = met.where("whole").select("id").union(alike.select("id")).distinct()
             left = materialise(items.join(repeats, "id", "left_anti"), "left")
+        size = left.select(F.explode("prints").alias("print")).groupBy("print").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        pairs = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        if pairs > PAIRS:
+            middle = left.agg(F.percentile_approx("micros", 0.5, 10_000)).first()[0]
+            first, rest = left.where(F.col("micros") < middle), left.where(F.col("micros") >= middle)
+            if first.limit(1).count():
+                return self._take(first) + self._take(materialise(rest, "rest"))
+            same, rest = left.where(F.col("micros") == middle), left.where(F.col("micros") > middle)
+            if rest.limit(1).count():
+                return self._take(same) + self._take(materialise(rest, "rest"))
+            middle = left.agg(F.percentile_approx("id", 0.5, 10_000)).first()[0]
+            first, rest = left.where(F.col("id") <= middle), left.where(F.col("id") > middle)
+            if rest.limit(1).count():
+                return self._take(first) + self._take(materialise(rest, "rest"))
         killed = self._within(left)
         accepted = materialise(left.join(killed, "id", "left_anti"), "taken")
         self._append(accepted.drop("prints"), "items")
         prints = materialise(accepted.select(F.explode(F.concat("prints", F.array_compact(F.array("addr", "tset")))).alias("print"), "id"), "prints")
         self._append(prints, "prints")
         self._append(self._filters(prints), "filters")
-        return accepted.select("id").union(bare)
+        return [accepted]
 
     def _verified(self, pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
         """Of pairs (id, accepted), those whose sets have 0.8 of their union in common."""

@@ -77,10 +77,11 @@ def made(seed, n=400):
     return rows
 
 
-@pytest.mark.parametrize("one_task", [1_000_000, 0])
-def test_against_brute_force(spark, monkeypatch, one_task):
+@pytest.mark.parametrize(("one_task", "pairs", "n"), [(1_000_000, 10**8, 400), (0, 10**8, 400), (1_000_000, 60, 150)])
+def test_against_brute_force(spark, monkeypatch, one_task, pairs, n):
     monkeypatch.setattr(h, "ONE_TASK", one_task)
-    rows = made(11 + one_task)
+    monkeypatch.setattr(h, "PAIRS", pairs)
+    rows = made(11 + one_task, n)
     got = {r.id for r in h.repeats(spark.createDataFrame(rows, SCHEMA), "id", "company_symbol", "article_url", "article_title", "cached_date").collect()}
     assert got == brute(rows)
 
