@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions import scores, text as T
+from newsloom.functions import display, scores, text as T
 from newsloom.operators import chunks, collect, dedupe, sentiment, sessions, verdict
 from newsloom.plans.shared import AS_OF, COMPANIES, WS, companies, read, sql_squeeze, sql_strip, sql_without_suffix
 from newsloom.session import shared_dir
@@ -319,18 +319,47 @@ SELECT *, round(bullish / chunk_count * 100, 1) AS bullish_pct, round(neutral /
   CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS confidence_band FROM w"""
 
 
-def _predicted(spark, d):
-    """Relevant articles of every company, the first 15, cleaned, chunked, scored, and joined with their predictions."""
-    rows = collect.relevant(news(spark, d), companies(spark, d))
-    rows = collect.first_per_title_and_link(rows)
+def predicted(spark, d, symbols: list[str] | None = None):
+    """Relevant articles of every company (or of symbols), the first 15, cleaned, chunked, scored, and joined with their predictions."""
+    rows = news(spark, d) if symbols is None else news(spark, d).where(F.col("company_symbol").isin(symbols))
+    rows = collect.first_per_title_and_link(collect.relevant(rows, companies(spark, d)))
     rows = collect.capped(rows, 15).select(
         "company_symbol", F.col("id").alias("ord"), F.col("article_title").alias("title"), F.col("article_content").alias("description"), F.col("article_url").alias("link"), F.col("published_date").alias("published"), F.col("source_name").alias("source"))
     cut = chunks.chunks(chunks.prepared(rows), ["company_symbol", "ord"])
     return sentiment.scored(cut)
 
 
-Q["verdict_flagship"] = lambda spark, d: verdict.summary(_predicted(spark, d), ["company_symbol"])
-Q["verdict_documents"] = lambda spark, d: verdict.documents(_predicted(spark, d), companies(spark, d))
+Q["verdict_flagship"] = lambda spark, d: verdict.summary(predicted(spark, d), ["company_symbol"])
+Q["verdict_documents"] = lambda spark, d: verdict.documents(predicted(spark, d), companies(spark, d))
+
+
+# --- what an interface shows -------------------------------------------------------------------------------------------
+Q["display_fields"] = lambda spark, d: Q["verdict_by_company"](spark, d).select(
+    "company_symbol", display.percent(F.col("bullish"), F.col("chunk_count")).alias("bullish_pct"), display.band(F.col("confidence")).alias("band"), display.label_text(F.upper("sentiment_label")).alias("label"))
+S["display_fields"] = f"""SELECT company_symbol, bullish_pct, CASE WHEN confidence > 0.7 THEN 'green' WHEN confidence > 0.4 THEN 'yellow' ELSE 'red' END AS band,
+  CASE sentiment_label WHEN 'bullish' THEN 'Bullish' WHEN 'bearish' THEN 'Bearish' ELSE 'Neutral' END AS label FROM ({S['verdict_by_company']})"""
+
+Q["display_days"] = lambda spark, d: read(spark, d, "events").select("event_id", display.day(F.col("ts").cast("timestamp")).alias("day"))
+S["display_days"] = "SELECT event_id, strftime(ts, '%b %-d, %Y') AS day FROM events"
+
+Q["error_messages"] = lambda spark, d: read(spark, d, "events").select("event_type").distinct().select("event_type", display.error_message(F.col("event_type")).alias("message"))
+S["error_messages"] = f"SELECT DISTINCT event_type, '{display.OTHER_ERROR}' AS message FROM events"
+
+Q["search_prompts"] = lambda spark, d: companies(spark, d).select("symbol", display.prompt(F.col("company_name"), F.col("symbol"), ["a.example", "b.example"]).alias("prompt"))
+S["search_prompts"] = WITH + f"""SELECT symbol, replace(replace('{display.PROMPT.replace("{SOURCES}", "a.example, b.example")}', '{{NAME}}', company_name), '{{SYMBOL}}', symbol) AS prompt FROM companies"""
+
+Q["normalised_keys"] = lambda spark, d: news(spark, d).select("id", display.cache_key(F.col("article_url"), F.col("article_title"), F.col("article_content")).alias("key"))
+S["normalised_keys"] = "SELECT id, sha256(coalesce(article_url, '') || coalesce(article_title, '') || substr(coalesce(article_content, ''), 1, 1000)) AS key FROM news_cache"
+
+Q["url_encode"] = lambda spark, d: companies(spark, d).select("symbol", F.replace(F.url_encode("company_name"), F.lit("+"), F.lit("%20")).alias("encoded"))
+S["url_encode"] = WITH + "SELECT symbol, url_encode(company_name) AS encoded FROM companies"
+
+Q["inference_batches"] = lambda spark, d: display.batches(news(spark, d), [F.col("id")], "company_symbol").groupBy("company_symbol", "batch").agg(F.count(F.lit(1)).alias("n"))
+S["inference_batches"] = """SELECT company_symbol, batch, count(*) AS n FROM (SELECT company_symbol, floor((row_number() OVER (PARTITION BY company_symbol ORDER BY id) - 1) / 16)::INT AS batch FROM news_cache)
+GROUP BY company_symbol, batch"""
+
+Q["collection_envelope"] = lambda spark, d: display.envelope(Q["cache_or_fetch"](spark, d))
+S["collection_envelope"] = f"SELECT company_symbol, count(*) AS article_count, true AS success, count(*) FILTER (WHERE from_cache) AS cached FROM ({S['cache_or_fetch']}) GROUP BY company_symbol"
 
 
 def _joined(spark, d):

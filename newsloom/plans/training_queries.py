@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from newsloom.operators import evaluation as ev, sentiment
+from newsloom.operators import classifier, evaluation as ev, sentiment
 from newsloom.plans.shared import read, sql_strip
 from newsloom.session import shared_dir
 from newsloom.streaming import news as streams
@@ -70,8 +71,34 @@ def _delta(spark, d):
 
 
 Q["baseline_delta"] = _delta
+
+
+def _gold_evaluation(spark, d):
+    """Scored documents against their gold labels, as a report."""
+    docs = sentiment.scored(read(spark, d, "documents")).select("doc_id", F.col("sentiment").alias("lexicon"))
+    rows = _both(spark, d).select("doc_id", "gold").join(docs, "doc_id")
+    return ev.report(ev.confusion(rows, "gold", "lexicon")).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+Q["gold_evaluation"] = _gold_evaluation
+
+
+def _trained(spark, d):
+    """A classifier fitted on four fifths of the gold labels, saved, loaded, and evaluated on the rest."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    rows = _gold(spark, d).where("gold is not null").groupBy("doc_id").agg(F.min("gold").alias("label")).join(docs.where("text is not null"), "doc_id")
+    split = ev.stratified(rows, "doc_id", "label", {"train": 0.8, "test": 0.2})
+    path = shared_dir(spark, "model")
+    classifier.train(split.where("part = 'train'")).write().overwrite().save(path)
+    tested = classifier.predict(PipelineModel.load(path), split.where("part = 'test'"))
+    return ev.confusion(tested, "label", "sentiment")
+
+
+Q["trained_classifier"] = _trained
 from newsloom.plans.news_queries import S as _NS  # noqa: E402
 
+S["gold_evaluation"] = f"""WITH {_GOLD}, x AS ({_NS['lexicon_labels']}), r AS (SELECT gold.doc_id, gold, x.sentiment AS model FROM gold JOIN x USING (doc_id) WHERE gold IS NOT NULL AND gold.model IS NOT NULL),
+{_REPORT} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM f"""
 S["baseline_delta"] = f"""WITH {_BOTH}, x AS ({_NS['lexicon_labels']}), j AS (SELECT r.*, x.sentiment AS lexicon FROM r JOIN x USING (doc_id))
 SELECT round(avg((gold = lexicon)::INT), 6) AS baseline_accuracy, round(avg((gold = model)::INT), 6) AS tuned_accuracy, round(avg((gold = model)::INT) - avg((gold = lexicon)::INT), 6) AS accuracy_delta FROM j"""
 
