@@ -20,4 +20,12 @@ QUERIES: dict = {
     "p9_texts": lookalike.p9_texts,
     "p9_classes": lookalike.p9_classes,
 }
-ORACLES: dict = {}
+_WS = r"[\t-\r \x{85}\p{Z}]"
+_BREAK = r"(?:\r\n|\r|\n)"
+_BARE = lambda x: rf"length(regexp_replace({x}, '\A{_WS}+|{_WS}+\z', '', 'g'))"
+ORACLES: dict = {
+    "p6_found": rf"""WITH c AS (SELECT id, article_content AS t, string_split_regex(article_content, '{_BREAK}[\t\x0b\x0c \x{{85}}\p{{Z}}]*{_BREAK}{_WS}*') AS ps FROM news_cache WHERE length(article_content) > 1600),
+s AS (SELECT id, t, ps, flatten(list_transform(ps, lambda p: string_split(regexp_replace(p, '([.!?]+["''”’»)\]}}]*)({_WS})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS ss FROM c)
+SELECT id, CASE WHEN list_max(list_transform(ps, lambda p: {_BARE('p')})) <= 1600 THEN 'paragraph' WHEN list_max(list_transform(ss, lambda x: {_BARE('x')})) <= 1600 THEN 'sentence'
+  WHEN list_max(list_transform(string_split_regex(t, '{_WS}+'), lambda w: length(w))) <= 1600 THEN 'word' ELSE 'none' END AS boundary FROM s""",
+}
