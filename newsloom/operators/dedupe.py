@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_hash, clean_url, headline_words
 from newsloom.operators.collect import keep_first
+from newsloom.operators.components import components
+from newsloom.session import materialise
 
 ALIKE = 0.85
 
@@ -77,8 +79,17 @@ def _greedy(least: float):
 def greedy(rows: DataFrame, title: str = "article_title", score: str = "relevance_score", row_id: str = "id", within: str = "company_symbol", least: float = ALIKE) -> DataFrame:
     """row_id of the rows that stay, going through each company's rows in order: a row with a headline like a kept one's is dropped, or takes its place if it scores higher.
 
-    The outcome depends on the order of all rows of a company, so that a company is one group; run it behind by_hash_and_url and a cap, as collection does.
+    What happens to a row depends on rows it is linked with by alike headlines and on no others, so that each connected group of headlines of a company is gone
+    through by itself; rows without any link stay and aren't gathered. Headlines without words match nothing.
     """
-    words = headline_words(F.coalesce(title, F.lit("")))
+    words = F.array_sort(F.array_distinct(headline_words(F.coalesce(title, F.lit("")))))
     narrow = rows.select(F.col(within).alias("g"), F.col(row_id).cast("bigint").alias("id"), F.coalesce(score, F.lit(0.0)).alias("score"), words.alias("words"))
-    return narrow.groupBy("g").applyInPandas(_greedy(least), "id bigint").withColumnRenamed("id", row_id)
+    narrow = materialise(narrow, "headlines")
+    # a class: equal words in one company, named by its least id
+    sizes = narrow.where(F.size("words") > 0).groupBy("g", "words").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n"))
+    roots = components(headline_pairs(rows, title, row_id, within, least), "id_a", "id_b").withColumnRenamed("node", "c")
+    grouped = sizes.join(roots, "c", "left").where((F.col("n") > 1) | F.col("root").isNotNull()).select(F.col("g").alias("_g"), F.col("words").alias("_w"), F.coalesce("root", "c").alias("root"))
+    linked = narrow.join(grouped, F.col("g").eqNullSafe(F.col("_g")) & (F.col("words") == F.col("_w"))).select("id", "score", "words", "root")
+    kept = linked.groupBy("root").applyInPandas(_greedy(least), "id bigint")
+    alone = narrow.join(linked.select("id"), "id", "left_anti").select("id")
+    return alone.union(kept).withColumnRenamed("id", row_id)
