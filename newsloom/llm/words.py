@@ -9,7 +9,7 @@ import xxhash
 
 #: A word: a longest run of letters or digits (classes L and N) of the lower-cased text.
 find_words = re.compile(r"[^\W_]+").findall
-_MEMO = 1_000_000
+_MEMO = 400_000
 
 
 class WordHashes(dict):
