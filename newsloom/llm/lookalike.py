@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from newsloom.session import materialise
 
 # Letters of other scripts and the Latin letters they look like, in the order of the scripts' alphabets.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮҺԚԜаеѕіјорсухүһԁԛԝӏ", "ABESIJKMHOPCTYXYHQWaesijopcyxyhdqwl"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿαινορυϲϳ", "ABEZHIKMNOPTYXCJaivopucj"))
-ARMENIAN = dict(zip("ՏՕՍԼգհյոսօզ", "SOULqhjnuoq"))
-LATIN = dict(zip("ɑɡ", "ag"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХѴҮӀԚԜаеѕіјорсухѵүһӏԁԛԝ", "ABESIJKMHOPCTYXVYIQWaesijopcyxvyhldqw", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿαινορυϲϳ", "ABEZHIKMNOPTYXCJaivopucj", strict=True))
+ARMENIAN = dict(zip("ՏՕՍԼգհյոսօզ", "SOULqhjnuoq", strict=True))
+LATIN = dict(zip("ɑɡ", "ag", strict=True))
 #: Kinds of compatibility decomposition that look like what they decompose to. Raised and lowered figures, fractions, and circled signs aren't among them.
 LOOKS_LIKE = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>", "<square>", "<small>"}
 #: <compat> holds many things; only letters made of letters count: ligatures, digraphs, Roman numerals, letter-like signs.
