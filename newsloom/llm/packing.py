@@ -19,8 +19,8 @@ from newsloom.llm import tokens
 from newsloom.session import broadcast_if_small, materialise
 
 CAPACITY = 2048
-#: Length buckets that the dynamic program may use.
-BUCKETS = 192
+#: Length buckets that the dynamic program may use. As many as sizes leave no padding at all; fewer make sense for far larger capacities.
+BUCKETS = 2048
 #: Rows of one bucket that are ranked in one task; larger buckets are split by a salt.
 RANKED = 200_000
 
