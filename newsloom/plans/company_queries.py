@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.operators import search
 from newsloom.plans.shared import AS_OF, COMPANIES, companies, query_list, read, sql_list, sql_replace_suffixes, sql_squeeze, sql_strip, sql_without_suffix
+from newsloom.sources import tables
 
 TYPED = ("KI", "RABISATO", "pharma", "du", "Limited", "MU", "ZZZZ", "100%")
 SYMBOLS = ("rabisato", "KIHESEKUTH", "DUMASIBAL", "NOSUCH")
@@ -106,3 +107,16 @@ S["validate_symbols"] = WITH + "SELECT company_symbol, count(*) AS n, company_sy
 
 Q["series_search_counts"] = lambda spark, d: search.tiered(companies(spark, d), query_list(spark, TYPED)).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
 S["series_search_counts"] = _TIERS + "SELECT query, count(*) AS n FROM once GROUP BY query"
+
+
+def _point_query(spark, d):
+    tables.register(spark, d, ("news_cache",))
+    return tables.query(spark, "SELECT id, article_title FROM news_cache WHERE company_symbol = ? AND relevance_score >= ? AND NOT isnan(relevance_score)", "DUMASIBAL", 0.5)
+
+
+Q["sql_point_query"] = _point_query
+S["sql_point_query"] = "SELECT id, article_title FROM news_cache WHERE company_symbol = 'DUMASIBAL' AND relevance_score >= 0.5 AND NOT isnan(relevance_score)"
+
+# there is no source of sectors: a search by sector finds nothing, with the columns of any search
+Q["sector_search"] = lambda spark, d: companies(spark, d).where("false").select("symbol", "company_name")
+S["sector_search"] = WITH + "SELECT symbol, company_name FROM companies WHERE false"
