@@ -145,7 +145,7 @@ _TERMS = _CS["search_terms"].split("SELECT symbol, string_agg")[0] + f""", allte
 terms AS (SELECT DISTINCT symbol, t FROM allterms WHERE t <> ''),
 hits AS (SELECT n.id, t.symbol, t.t FROM (SELECT id, company_symbol, {_TEXT} AS txt FROM news_cache) n JOIN terms t ON __ON__
   WHERE list_bool_and(list_transform(string_split_regex(t.t, ' +'), lambda w: contains(n.txt, w)))) """
-S["relevant_articles"] = _TERMS.replace("__ON__", "t.symbol = n.company_symbol") + """SELECT id, symbol AS company_symbol, string_agg(t, '|' ORDER BY t) AS matched, 0.7 AS relevance_score FROM hits GROUP BY id, symbol"""
+S["relevant_articles"] = _TERMS.replace("__ON__", "t.symbol = n.company_symbol") + """SELECT id, symbol AS company_symbol, string_agg(t, '|' ORDER BY t) AS matched, 0.7::DOUBLE AS relevance_score FROM hits GROUP BY id, symbol"""
 
 Q["company_article_match"] = lambda spark, d: collect.about_companies(news(spark, d), companies(spark, d))
 S["company_article_match"] = _TERMS.replace("__ON__", "true") + "SELECT DISTINCT id, symbol FROM hits"
