@@ -96,5 +96,5 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, where a small input in few files would leave most of them idle; at scale df as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores << 22 and len(df.inputFiles()) < cores else df
