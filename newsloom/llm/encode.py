@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import lexicon, tokens
-from newsloom.session import materialise, shared_dir, write_bytes
+from newsloom.session import materialise, shared_dir, spread, write_bytes
 
 #: Words of the lexicon: a bound on its size, not on the words that are encoded.
 LEXICON_WORDS = 16_384
@@ -168,7 +168,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     very long text is encoded whole. Other columns of docs are left out; an empty table gives none. Frequent words take their ids from the
     automaton, all others are merged by the vocabulary's ranks, so that the ids are those of the public tokenizer whatever the lexicon holds.
     """
-    name = build_lexicon(docs.select(F.col(text)), size, folder)
+    docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    name = build_lexicon(docs.select("text"), size, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, folder)
@@ -179,7 +180,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
                 offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([keys.slice(begin, end - begin), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

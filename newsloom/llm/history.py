@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.timestamps import parse_instant
 from newsloom.llm import bloom
 from newsloom.llm.words import WordHashes, find_words, mix
-from newsloom.session import materialise, path_exists, remove_dir, shared_dir
+from newsloom.session import materialise, path_exists, remove_dir, shared_dir, spread
 
 #: Sets of at most so many words are found by pairs of words; from SINGLE_WORDS on also by single words, so that sizes in between meet both ways.
 PAIR_WORDS, SINGLE_WORDS = 64, 52
@@ -93,7 +93,7 @@ ITEM = "id bigint, grp bigint, micros bigint, addr bigint, tset bigint, words ar
 def prepare(rows: DataFrame, row_id: str, company: str, url: str, title: str, cached: str) -> DataFrame:
     """id, group, instant, address key, word-set key and words of each row: all that the check needs. A null company is a company of its own;
     a row without readable instant comes after all others."""
-    return rows.select(F.col(row_id).cast("bigint"), company, url, title, cached).mapInArrow(_prepare, ITEM)
+    return spread(rows.select(F.col(row_id).cast("bigint"), company, url, title, cached)).mapInArrow(_prepare, ITEM)
 
 
 def word_order(items: DataFrame) -> np.ndarray:
@@ -319,8 +319,8 @@ class AcceptedStore:
         several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
         members = groups.join(several, "key", "left_semi").select(F.lit(True).alias("kind"), "key", "id", "micros")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = items.select("id", "micros", "tset", F.explode("prints").alias("print")).repartition(parts, "print")
-        joined = spread.alias("a").join(spread.alias("b"), F.expr("a.print = b.print and a.tset <> b.tset and (a.micros < b.micros or a.micros = b.micros and a.id < b.id)"))
+        by_print = items.select("id", "micros", "tset", F.explode("prints").alias("print")).repartition(parts, "print")
+        joined = by_print.alias("a").join(by_print.alias("b"), F.expr("a.print = b.print and a.tset <> b.tset and (a.micros < b.micros or a.micros = b.micros and a.id < b.id)"))
         pairs = joined.select(F.col("b.id").alias("id"), F.col("a.id").alias("accepted"), F.col("b.micros").alias("micros")).distinct()
         links = self._verified(pairs.select("id", "accepted"), items, items).join(items.select("id", "micros"), "id")
         links = links.select(F.lit(False).alias("kind"), F.col("accepted").alias("key"), "id", "micros")

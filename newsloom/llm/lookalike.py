@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import materialise
+from newsloom.session import materialise, spread
 
 # Letters of other scripts and the Latin letters they look like, in the order of the scripts' alphabets.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХѴҮӀԚԜаеѕіјорсухѵүһӏԁԛԝ", "ABESIJKMHOPCTYXVYIQWaesijopcyxvyhldqw", strict=True))
@@ -194,7 +194,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def look_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, look (key of the one form), exact (key of the text) of every text that shows something."""
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(_keys, "doc_id bigint, look binary, exact binary")
+    return spread(docs.select(F.col(doc_id).cast("bigint"), F.col(text))).mapInArrow(_keys, "doc_id bigint, look binary, exact binary")
 
 
 def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import tokens
-from newsloom.session import broadcast_if_small, materialise
+from newsloom.session import broadcast_if_small, materialise, spread
 
 CAPACITY = 2048
 #: Length buckets that the dynamic program may use. As many as sizes leave no padding at all; fewer make sense for far larger capacities.
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     and goes to container 0. Repeated rows are items of their own; other columns are left out; an empty table gives none.
     """
     items = materialise(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(folder, capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int"), "sizes")
+        spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(_pieces(folder, capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int"), "sizes")
     histogram = items.groupBy("n_tokens").count().collect()  # at most capacity + 1 rows
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in histogram:

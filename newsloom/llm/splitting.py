@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import spread
+
 LIMIT, OVERLAP_WORDS = 1600, 12
 _BLANK = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 _END = re.compile(r"[.!?]+[\"'”’»)\]}]*(?=\s)")
@@ -117,7 +119,7 @@ def split(rows: DataFrame, row_id: str, text: str, limit: int = LIMIT, words: in
 
     kind = rows.select(row_id).schema[0].dataType.simpleString()
     long = rows.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where(F.length("text") > limit)
-    return long.mapInArrow(run, f"id {kind}, piece int, start int, overlap int, boundary string, suffices string, content string").withColumnRenamed("id", row_id)
+    return spread(long).mapInArrow(run, f"id {kind}, piece int, start int, overlap int, boundary string, suffices string, content string").withColumnRenamed("id", row_id)
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.session import broadcast_if_small, materialise
+from newsloom.session import broadcast_if_small, materialise, spread
 
 #: A length is a hidden limit if so many rows of its source have it, and so many times the mean of the lengths around it.
 SPIKE_ROWS, SPIKE_TIMES, AROUND = 20, 8.0, 25
@@ -119,7 +119,7 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hidden_limits(rows: DataFrame, text: str, source: str) -> DataFrame:
     """source, base (0: as stored, 1: without signs of omission), variant, length, n: the lengths at which a source's texts pile up."""
     filled = rows.where(F.trim(text) != "").select(F.col(source).alias("source"), F.col(text).alias("text"))
-    counts = filled.mapInArrow(_histogram, "source string, base int, variant int, length bigint, n bigint")
+    counts = spread(filled).mapInArrow(_histogram, "source string, base int, variant int, length bigint, n bigint")
     summed = counts.groupBy("source", "base", "variant", "length").agg(F.sum("n").alias("n"))
     around = W.partitionBy("source", "base", "variant").orderBy("length").rangeBetween(-AROUND, AROUND)
     usual = (F.sum("n").over(around) - F.col("n")) / (2 * AROUND)
@@ -136,7 +136,7 @@ def find_cut(rows: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
     limits = materialise(hidden_limits(rows, text, source), "limits")
     per_source = limits.groupBy("source").agg(F.collect_list(F.struct("base", "variant", "length")).alias("limits"))  # at most a row in SPIKE_ROWS makes one
     kind = rows.select(row_id).schema[0].dataType.simpleString()
-    keyed = rows.select(F.col(row_id).alias("id"), F.col(source).alias("row_source"), F.col(text).alias("text"))
+    keyed = spread(rows.select(F.col(row_id).alias("id"), F.col(source).alias("row_source"), F.col(text).alias("text")))
     joined = keyed.join(broadcast_if_small(per_source), F.col("row_source").eqNullSafe(F.col("source")), "left").select("id", "row_source", "text", "limits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
