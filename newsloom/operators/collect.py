@@ -47,7 +47,7 @@ def about_companies(articles: DataFrame, companies: DataFrame, row_id: str = "id
     blocks = max(1, -(-n // BLOCK))
     keyed = terms.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)))
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
-    rows = articles.select(F.col(row_id).cast("bigint").alias("id"), text.alias("text"))
+    rows = spread(articles.select(F.col(row_id).cast("bigint").alias("id"), text.alias("text")))
     out = None
     for k in range(blocks):
         held = articles.sparkSession.sparkContext.broadcast([(r.symbol, [t.split() for t in r.terms if t.split()]) for r in keyed.where(F.col("block") == k).collect()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import display, scores, text as T
 from newsloom.operators import chunks, collect, dedupe, sentiment, sessions, verdict
 from newsloom.plans.shared import AS_OF, COMPANIES, WS, companies, read, sql_squeeze, sql_strip, sql_without_suffix
-from newsloom.session import shared_dir
+from newsloom.session import shared_dir, spread
 from newsloom.sources import answers, cache, feeds
 
 WITH = f"WITH {COMPANIES} "
@@ -172,7 +172,7 @@ S["union_sources"] = f"""SELECT company_symbol, 'feeds' AS kind, count(*) AS n F
 UNION ALL SELECT company_symbol, 'gemini', count(*) FROM ({S['llm_json_parse']}) GROUP BY company_symbol"""
 
 # --- filtering ---------------------------------------------------------------------------------------------------------
-_named = lambda spark, d: news(spark, d).join(companies(spark, d).select(F.col("symbol").alias("company_symbol"), "company_name"), "company_symbol").select(
+_named = lambda spark, d: spread(news(spark, d)).join(companies(spark, d).select(F.col("symbol").alias("company_symbol"), "company_name"), "company_symbol").select(
     "id", "company_symbol", "company_name", F.coalesce("article_title", F.lit("")).alias("t"), F.coalesce("article_content", F.lit("")).alias("d"))
 _NAMED = WITH + f""", n AS (SELECT id, symbol, company_name, coalesce(article_title, '') AS t, coalesce(article_content, '') AS d, {_TEXT} AS txt, lower(company_name) AS whole,
   lower({_SHORT}) AS short FROM news_cache JOIN companies ON symbol = company_symbol) """
