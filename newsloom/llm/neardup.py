@@ -5,6 +5,9 @@ probability of its (weighted) similarity; a coordinate prefers shingles that few
 partitions the coordinates into FIRST parts of SECOND coordinates and enumerates, in each part, the subsets that leave one coordinate out: sets of one size
 band that agree in such a subset share a signature. Pairs that share several signatures, and those that share one and whose short sketches agree, are checked
 on their whole sets.
+
+Where many different texts share most of their shingles, these weigh little and each text's own words would win the coordinates. Texts that have
+signatures over a few unweighted coordinates in common with many others therefore get signatures over further unweighted coordinates as well.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ CHUNKS = 64
 PARTS, AGREE = 32, 0.25
 #: Texts that may share a shingle before it counts as less than one; more by one for each partition that may count a copy again.
 RARE = 60
+#: Unweighted coordinates whose probes (below) count how many texts are like a text, and how many others, over all probes, make a family.
+PLAIN, FAMILY = FIRST * SECOND, 150
+#: Parts and coordinates of a part in the signatures of such texts; with half of their union in common, 0.3 % of pairs share none.
+WIDE, DEEP = 16, 4
 
 
 def shingle_sets(texts: list[tuple[str | None, str | None]], hashes: WordHashes, size: int, least_words: int) -> list[np.ndarray | None]:
@@ -147,23 +154,72 @@ def frequency_sketch(sets: DataFrame, bits: int) -> np.ndarray:
 _SUBSETS = [(SECOND * t + i, SECOND * t + j) for t in range(FIRST) for i, j in combinations(range(SECOND), SECOND - 1)]
 
 
-def coordinates(values: np.ndarray, begins: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    """The min-wise coordinates of each set: a row of FIRST * SECOND 32-bit values. penalty: 1 / weight of each shingle."""
-    out = np.empty((FIRST * SECOND, len(begins)), np.uint32)
+def _hashed(values: np.ndarray, k: int) -> np.ndarray:
+    x = values ^ np.uint32((k + 1) * 0x9E3779B1 & 0xFFFFFFFF)
+    x = x * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(13)
+    return x
+
+
+def coordinates(values: np.ndarray, begins: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The min-wise coordinates of each set: a row of FIRST * SECOND 32-bit values, and as many unweighted ones. penalty: 1 / weight of each shingle."""
+    out, plain = np.empty((FIRST * SECOND, len(begins)), np.uint32), np.empty((PLAIN, len(begins)), np.uint32)
     for k in range(FIRST * SECOND):
-        x = values ^ np.uint32((k + 1) * 0x9E3779B1 & 0xFFFFFFFF)
-        x = x * np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(13)
+        x = _hashed(values, k)
+        plain[k] = np.minimum.reduceat(x, begins)
         key = -np.log((x.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)) * penalty
         out[k] = np.minimum.reduceat(key, begins).view(np.uint32)
+    return out, plain
+
+
+_WIDE_SUBSETS = [tuple(DEEP * t + i for i in some) for t in range(WIDE) for some in combinations(range(DEEP), DEEP - 1)]
+
+
+def plain_coordinates(values: np.ndarray, begins: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Unweighted min-wise coordinates of each set, count rows of 32-bit values, from number first on."""
+    return np.stack([np.minimum.reduceat(_hashed(values, first + k), begins) for k in range(count)])
+
+
+def _joint(rows: np.ndarray, subset: tuple[int, ...], seed: int) -> np.ndarray:
+    out = np.full(rows.shape[1], seed * 0xD6E8FEB86659FD93 & (2**64 - 1), np.uint64)
+    for i in subset:
+        out = mix(out ^ rows[i].astype(np.uint64))
     return out
 
 
-def signatures(sets: DataFrame, penalty_sketch: np.ndarray) -> DataFrame:
-    """sig and cls: the PartEnum signatures of each set, for its size band and, where a similar set may lie in it, the band below."""
-    shared = sets.sparkSession.sparkContext.broadcast(penalty_sketch)
+#: Fours of the unweighted coordinates, any two in a cycle with at most one in common.
+_PROBES = [tuple((k + d) % PLAIN for d in four) for four in ((0, 1, 4, 6), (0, 2, 9, 17)) for k in range(PLAIN)]
+
+
+def probes(plain: np.ndarray) -> np.ndarray:
+    """A row of 32-bit signatures of the sets for each of _PROBES."""
+    return np.stack([(_joint(plain, four, k + 1) >> np.uint64(32)).astype(np.uint32) for k, four in enumerate(_PROBES)])
+
+
+def probe_sketch(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many texts have a probe, by its leading bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                values, offsets = _flat(b.slice(at, 2000).column(0))
+                flat = np.ascontiguousarray(probes(plain_coordinates(values, offsets[:-1], 0, PLAIN)).T).reshape(-1)
+                ends = pa.array(np.arange(0, len(flat) + 1, len(_PROBES)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int32)))], names=["shingles"])
+
+    return frequency_sketch(sets.select("shingles").mapInArrow(run, "shingles array<int>"), bits)
+
+
+def signatures(sets: DataFrame, penalty_sketch: np.ndarray, like_sketch: np.ndarray) -> DataFrame:
+    """sig and cls: the PartEnum signatures of each set, for its size band and, where a similar set may lie in it, the band below.
+
+    like_sketch, what probe_sketch gives, tells which sets get the unweighted ones too.
+    """
+    shared, like = (sets.sparkSession.sparkContext.broadcast(x) for x in (penalty_sketch, like_sketch))
+    usual = len(_PROBES) * float(like_sketch.mean())
+    family = usual + len(_PROBES) + FAMILY + 4 * usual**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -174,7 +230,7 @@ def signatures(sets: DataFrame, penalty_sketch: np.ndarray) -> DataFrame:
                 values, offsets = _flat(part.column(2))
                 cls = part.column(0).to_numpy(zero_copy_only=False)
                 n = part.column(1).to_numpy(zero_copy_only=False)
-                rows = coordinates(values, offsets[:-1], table[values >> shift])
+                rows, plain = coordinates(values, offsets[:-1], table[values >> shift])
                 band = np.floor(np.log2(np.maximum(n, 32) / 32) / 4).astype(np.int64)
                 low = (band > 0) & (n < 64 * 16.0**band)
                 out_sig, out_cls = [], []
@@ -183,6 +239,15 @@ def signatures(sets: DataFrame, penalty_sketch: np.ndarray) -> DataFrame:
                     for where, level in ((slice(None), band), (low, band - 1)):
                         out_sig.append(mix(joint[where] + level[where].astype(np.uint64)))
                         out_cls.append(cls[where])
+                many = like.value[probes(plain) >> shift].sum(axis=0) >= family
+                if many.any():
+                    lengths = np.diff(offsets)
+                    rows = plain_coordinates(values[np.repeat(many, lengths)], np.cumsum(lengths[many]) - lengths[many], PLAIN, WIDE * DEEP)
+                    for k, subset in enumerate(_WIDE_SUBSETS):
+                        joint = _joint(rows, subset, len(_SUBSETS) + k + 1)
+                        for where, level in ((slice(None), band[many]), (low[many], band[many] - 1)):
+                            out_sig.append(mix(joint[where] + level[where].astype(np.uint64)))
+                            out_cls.append(cls[many][where])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_sig).view(np.int64)), pa.array(np.concatenate(out_cls))], names=["sig", "cls"])
 
     return sets.select("cls", "n", "shingles").mapInArrow(run, "sig bigint, cls bigint")
@@ -193,10 +258,11 @@ def similar_sets(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = table.sparkSession
     sets = table.where("shingles is not null")
     rows = table.count()
-    counts = frequency_sketch(sets, min(MOST_BITS, max(LEAST_BITS, rows.bit_length() + 1)))
+    bits = min(MOST_BITS, max(LEAST_BITS, rows.bit_length() + 1))
+    counts = frequency_sketch(sets, bits)
     rare = RARE + max(1, sets.rdd.getNumPartitions())
     penalty = np.maximum(1.0, (np.maximum(counts - counts.mean(), 0) + 1) / rare).astype(np.float32)
-    sigs = signatures(sets, penalty)
+    sigs = signatures(sets, penalty, probe_sketch(sets, bits))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_out = sigs.repartition(parts, "sig").dropDuplicates(["sig", "cls"])
     shared = sorted_out.alias("a").join(sorted_out.alias("b"), F.expr("a.sig = b.sig and a.cls < b.cls"))

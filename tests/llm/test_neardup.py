@@ -58,6 +58,23 @@ def test_pairs_and_groups(spark):
     assert groups == {i: root(i) for i in ids}
 
 
+def test_one_large_family(spark):
+    rng = random.Random(7)
+    base, size = [f"w{k}" for k in range(150)], 1500
+    rows = []
+    for i in range(size):
+        own = list(base)
+        for k in rng.sample(range(0, 150, 3), 8):
+            own[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, None, " ".join(own), "x", 1))
+    want, _ = brute(rows)
+    assert len(want) > 0.9 * size * (size - 1) / 2
+    members, links = n.near_duplicates(spark.createDataFrame(rows, SCHEMA), "id", "t", "c")
+    got = {tuple(r) for r in n.pairs_of(members, links).collect()}
+    assert not got - want and len(want - got) <= 0.01 * len(want), len(want - got) / len(want)
+    assert n.groups_of(members, links).select("group_id").distinct().count() == 1
+
+
 def test_nothing_to_find(spark):
     empty = spark.createDataFrame([], SCHEMA)
     members, links = n.near_duplicates(empty, "id", "t", "c")
