@@ -230,17 +230,21 @@ WHERE len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len
 Q["dedupe_fuzzy_greedy"] = lambda spark, d: dedupe.greedy(news(spark, d))
 
 
-def _filter_pipeline(spark, d):
-    """Scored, thresholded, repeats dropped, not too old, best first, at most 50 of each company."""
+def _filter_pipeline(spark, d, by_text: bool = False):
+    """Scored, thresholded, repeats dropped, not too old, best first, at most 50 of each company. by_text reads only dates that begin as yyyy-MM-dd."""
     rows = news(spark, d).join(companies(spark, d).select(F.col("symbol").alias("company_symbol"), "company_name"), "company_symbol")
     rows = scores.prepared(rows, F.col("article_title"), F.col("article_content"), F.col("company_name"), F.col("company_symbol"))
     rows = rows.withColumn("score", F.round(scores.relevance(), 6)).where("score >= 0.05")
-    rows = dedupe.by_hash_and_url(rows).withColumn("day", F.try_to_timestamp(F.substring("cached_date", 1, 10), F.lit("yyyy-MM-dd")))
-    rows = rows.where(F.col("day") >= F.lit("2025-06-01").cast("timestamp"))
+    rows = dedupe.by_hash_and_url(rows)
+    if by_text:
+        rows = rows.withColumn("day", F.try_to_timestamp(F.substring("cached_date", 1, 10), F.lit("yyyy-MM-dd"))).where(F.col("day") >= F.lit("2025-06-01").cast("timestamp"))
+    else:
+        rows = cache.not_older(rows, "2025-06-01", AS_OF, into="day")
     return collect.capped(rows, 50, order=[F.desc("score"), F.desc("day"), F.col("id")]).select("id", "company_symbol", "score", "rank")
 
 
-Q["filter_pipeline_v1"] = _filter_pipeline
+Q["filter_pipeline_instants"] = _filter_pipeline
+Q["filter_pipeline_v1"] = lambda spark, d: _filter_pipeline(spark, d, by_text=True)
 S["filter_pipeline_v1"] = f"""WITH {COMPANIES}, sc AS ({S['relevance_v1']}),
 k AS (SELECT n.*, sc.score FROM news_cache n JOIN sc USING (id) WHERE sc.score >= 0.05),
 h AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY company_symbol, md5(lower(coalesce(article_title, '') || '|' || substr(coalesce(article_content, ''), 1, 200))) ORDER BY id) = 1),

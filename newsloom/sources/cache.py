@@ -15,6 +15,14 @@ def instant(c: Column) -> Column:
     return F.timestamp_micros(parse_column(c, F.lit("Asia/Kolkata"), F.lit(True)))
 
 
+def not_older(rows: DataFrame, since: str, as_of: str, date: str = "cached_date", into: str = "at") -> DataFrame:
+    """Rows whose date is since or later, with its instant in column into. An unreadable date counts as as_of; null and blank ones are older than any."""
+    at = F.coalesce(instant(F.col(date)), F.lit(as_of).cast("timestamp"))
+    # a generator keeps the filter from being pushed below it, where the dates would be parsed a second time
+    rows = rows.where(F.trim(date) != "").select("*", F.inline(F.array(F.struct(at.alias(into)))))
+    return rows.where(F.col(into) >= F.lit(since).cast("timestamp"))
+
+
 def valid(cache: DataFrame, as_of: str, by_text: bool = False) -> DataFrame:
     """Rows that expire after as_of. by_text compares the texts as written, which only orders texts of one form."""
     if by_text:

@@ -118,6 +118,13 @@ def test_cache(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(path).select("id", "company_symbol").collect()} == {(1, "K1"), (9, "K2")}
 
 
+def test_age_by_instant(spark):
+    dates = ["2025-06-01 05:30:00", "2025-06-01 05:29:59", "1748736000000", "Mon, 02 Jun 2025 10:00:00 GMT", "Fri, 30 May 2025 10:00:00 GMT", "yesterday", "", None]
+    rows = spark.createDataFrame(list(enumerate(dates)), "id int, cached_date string")
+    got = {r.id: str(r.at) for r in cache.not_older(rows, "2025-06-01", "2025-07-01 00:00:00").select("id", F.col("at").cast("string").alias("at")).collect()}
+    assert got == {0: "2025-06-01 00:00:00", 2: "2025-06-01 00:00:00", 3: "2025-06-02 10:00:00", 5: "2025-07-01 00:00:00"}
+
+
 def test_collection(spark, companies):
     rows = spark.createDataFrame([(1, "TCS", "Tata  motors", "x services of consultancy", "u1", "rss"), (2, "TCS", None, None, "u1", "gemini"), (3, "TCS", "tcs", "", "", "rss"), (4, None, "tcs", "", "u", "rss")], "id int, company_symbol string, article_title string, article_content string, article_url string, source_name string")
     got = {r.id: r.matched_terms for r in collect.relevant(rows, companies).collect()}
