@@ -53,6 +53,12 @@ def chunk_texts(text: Column, most_tokens: int = MOST_TOKENS, words: int = OVERL
     return F.when(estimated_tokens(text) <= most_tokens, F.array(text)).otherwise(F.aggregate(sentences(text), begin, merge, finish))
 
 
+def counts(articles: DataFrame, most_tokens: int = MOST_TOKENS) -> DataFrame:
+    """Of prepared articles that fit most_tokens and of those that don't: how many there are, have chunks, have one chunk, and their chunks."""
+    listed = articles.select((estimated_tokens(F.col("full_text")) <= most_tokens).alias("single"), F.size(chunk_texts(F.col("full_text"), most_tokens)).alias("n"))
+    return listed.groupBy("single").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("n") >= 1).alias("with_chunks"), F.count_if(F.col("n") == 1).alias("one_chunk"), F.sum("n").alias("chunks"))
+
+
 def chunks(articles: DataFrame, keys: list[str], most_tokens: int = MOST_TOKENS) -> DataFrame:
     """One row per chunk of prepared articles: keys, chunk_id from 0, total_chunks, text, a readable id and metadata.
 

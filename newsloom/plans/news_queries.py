@@ -298,6 +298,8 @@ Q["chunks"] = lambda spark, d: _chunks(spark, d, None).select("ord", "chunk_id",
 Q["chunk_counts"] = lambda spark, d: _articles(spark, d).select("id", F.size(chunks.chunk_texts(F.col("full_text"))).alias("n"), (F.length("full_text") / 4 <= 400).alias("single")).groupBy("single").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("n") >= 1).alias("with_chunks"), F.count_if(F.col("n") == 1).alias("one_chunk")).where("single").select("articles", "with_chunks", "one_chunk")
 S["chunk_counts"] = f"WITH a AS ({S['articles_prepared']}) SELECT count(*) AS articles, count(*) AS with_chunks, count(*) AS one_chunk FROM a WHERE length(full_text) / 4.0 <= 400"
 
+Q["chunk_counts_all"] = lambda spark, d: chunks.counts(_articles(spark, d))
+
 # --- sentiment ---------------------------------------------------------------------------------------------------------
 Q["softmax_label"] = lambda spark, d: sentiment.with_softmax(read(spark, d, "embeddings"), F.slice("embedding", 1, 3).cast("array<double>"), "p").select(
     "vec_id", sentiment.label_of(F.col("p")).alias("sentiment"), *[F.round(F.get("p", F.lit(k)), 6).alias(x) for k, x in enumerate(sentiment.LABELS)])

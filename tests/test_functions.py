@@ -84,6 +84,16 @@ def test_chunks_follow_the_rules(spark):
     assert all(got[k] == fold(t) for k, t in enumerate(texts))
 
 
+def test_counts_hold_long_articles(spark):
+    texts = ["x" * 1600, "x" * 1601, "Short one. " * 400, "A sentence of some length here. " * 120, "One " + "y" * 3000 + ". Next sentence follows it. " * 80]
+    rows = spark.createDataFrame([(t,) for t in texts], "full_text string")
+    want = {}
+    for t in texts:
+        n = len(fold(t))
+        want[len(t) <= 1600] = [a + b for a, b in zip(want.get(len(t) <= 1600, [0] * 4), (1, n >= 1, n == 1, n))]
+    assert {r[0]: list(r[1:]) for r in chunks.counts(rows).collect()} == want and want[False][3] > want[False][0]
+
+
 def test_prepared_drops_empty_and_chunks_number(spark):
     schema = "id int, title string, description string, link string, published string, source string"
     rows = spark.createDataFrame([(1, None, "", "l", None, None), (2, "T", "d" * 10, "l", "p", "S é"), (3, "<b></b>", None, None, None, None)], schema)
