@@ -268,7 +268,7 @@ Q["training_text_clean"] = lambda spark, d: read(spark, d, "documents").select("
 S["training_text_clean"] = "SELECT doc_id, " + sql_strip(f"""regexp_replace({sql_squeeze("coalesce(text, '')")}, '<[^>]+>', '', 'g')""") + " AS text FROM documents"
 
 Q["filter_text_clean"] = lambda spark, d: news(spark, d).select("id", T.clean_for_filter(F.col("article_title")).alias("title"))
-Q["html_clean"] = lambda spark, d: news(spark, d).where("article_content like '%<%'").select("id", T.html_text(F.col("article_content")).alias("text"))
+Q["html_clean"] = lambda spark, d: news(spark, d).select("id", T.html_text(F.col("article_content")).alias("text"))
 
 Q["sentences"] = lambda spark, d: read(spark, d, "documents").where("text is not null").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
 S["sentences"] = rf"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){WS}+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: {sql_strip('s')}), lambda s: length(s) > 10))::INT AS n

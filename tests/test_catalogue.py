@@ -44,6 +44,11 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_html_clean_takes_every_row(spark, duck):
+    assert catalogue.QUERIES["html_clean"](spark, SF).count() == duck.execute("SELECT count(*) FROM news_cache").fetchone()[0]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
