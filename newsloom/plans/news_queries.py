@@ -135,6 +135,12 @@ S["failure_severity"] = f"""WITH r AS ({S['fetch_report']}), t AS (SELECT count(
 SELECT attempted, attempted - failed AS successful, failed, articles, round((attempted - failed) / attempted * 100, 1) AS success_rate,
   CASE WHEN attempted = failed THEN 'critical' WHEN attempted - failed < attempted / 2 THEN 'high' ELSE 'low' END AS severity FROM t"""
 
+Q["fetch_report_all"] = lambda spark, d: feeds.fetch_report(read(spark, d, "news_sources"), news(spark, d))
+S["fetch_report_all"] = S["fetch_report"].replace(f" WHERE {_RECENT}", "")
+
+Q["failure_severity_all"] = lambda spark, d: feeds.failure_summary(Q["fetch_report_all"](spark, d))
+S["failure_severity_all"] = S["failure_severity"].replace(f" WHERE {_RECENT}", "")
+
 # --- collection --------------------------------------------------------------------------------------------------------
 Q["relevant_articles"] = lambda spark, d: collect.relevant(news(spark, d), companies(spark, d)).select("id", "company_symbol", F.array_join("matched_terms", "|").alias("matched"), "relevance_score")
 _SHORT = sql_without_suffix("company_name")

@@ -44,6 +44,12 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_fetch_report_counts_every_month_and_form(spark, duck):
+    want = duck.execute("SELECT count(*) FROM news_cache JOIN news_sources USING (source_name)").fetchone()[0]
+    assert catalogue.QUERIES["failure_severity_all"](spark, SF).first()["articles"] == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_html_clean_takes_every_row(spark, duck):
     assert catalogue.QUERIES["html_clean"](spark, SF).count() == duck.execute("SELECT count(*) FROM news_cache").fetchone()[0]
