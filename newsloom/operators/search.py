@@ -53,10 +53,19 @@ def ranked(companies: DataFrame, queries: DataFrame, limit: int = 20) -> DataFra
 
 
 def similar(companies: DataFrame, symbols: DataFrame, limit: int = 5) -> DataFrame:
-    """Companies whose name begins with the first word of another's name: for each symbol (of symbols) at most limit others, by name."""
+    """Companies whose name begins with the first word of another's name: for each symbol (of symbols) at most limit others, by name.
+
+    First words are joined with the first words they begin by equality of all beginnings, so that all companies may be asked for at once. Of each first
+    word, limit + 1 names are enough, as one may be the asking company's own.
+    """
     own = companies.join(broadcast_if_small(symbols.select(F.upper("symbol").alias("symbol"))), "symbol")
     wanted = own.select(F.col("symbol").alias("of_symbol"), F.split("company_name", " ")[0].alias("first_word"))
-    hits = companies.join(broadcast_if_small(wanted), F.startswith("company_name", "first_word") & (F.col("symbol") != F.col("of_symbol")))
+    named = companies.select("symbol", "company_name", F.split("company_name", " ")[0].alias("word"))
+    begins = F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda k: F.substring(F.col("word"), F.lit(1), k)))
+    reached = named.select("word").distinct().select("word", begins.alias("first_word")).join(wanted.select("first_word").distinct(), "first_word")
+    place = F.row_number().over(W.partitionBy("first_word").orderBy("company_name", "symbol"))
+    first = named.join(reached, "word").withColumn("place", place).where(F.col("place") <= limit + 1).drop("word", "place")
+    hits = wanted.join(first, "first_word").where("symbol <> of_symbol")
     rank = F.row_number().over(W.partitionBy("of_symbol").orderBy("company_name", "symbol"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("of_symbol", "rank", "symbol", "company_name")
 

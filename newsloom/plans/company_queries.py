@@ -79,6 +79,9 @@ S["similar_companies"] = WITH + """, own AS (SELECT symbol AS of_symbol, string_
 SELECT of_symbol, row_number() OVER (PARTITION BY of_symbol ORDER BY company_name, symbol) AS rank, symbol, company_name
 FROM companies, own WHERE starts_with(company_name, first_word) AND symbol <> of_symbol QUALIFY rank <= 5"""
 
+Q["similar_companies_all"] = lambda spark, d: search.similar(companies(spark, d), companies(spark, d).select("symbol"))
+S["similar_companies_all"] = S["similar_companies"].replace(" WHERE length(symbol) = 8 ORDER BY symbol LIMIT 20", "")
+
 Q["by_series"] = lambda spark, d: search.of_series(companies(spark, d)).select("series", "rank", "symbol", "company_name")
 S["by_series"] = WITH + "SELECT series, row_number() OVER (PARTITION BY series ORDER BY symbol) AS rank, symbol, company_name FROM companies WHERE series IS NOT NULL QUALIFY rank <= 100"
 

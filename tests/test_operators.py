@@ -51,6 +51,17 @@ def test_similar_and_context(spark, companies):
     assert row.primary_search_term == "TCS" and row.news_config.max_articles == 50
 
 
+def test_similar_of_all_companies(spark):
+    rng = random.Random(3)
+    names = [f"{rng.choice(['A', 'AB', 'ABC', 'Abc', 'B', 'A B', 'Ü'])}{rng.choice(['', 'x', 'y z'])} {rng.choice(['Ltd', 'Foods', ''])}".strip() for _ in range(80)]
+    rows = [(f"S{k}", n) for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "symbol string, company_name string")
+    want = {(s, i + 1, *x) for s, n in rows for i, x in enumerate(sorted(((t, m) for t, m in rows if t != s and m.startswith(n.split(" ")[0])), key=lambda x: (x[1], x[0]))[:5])}
+    similar = search.similar(df, df.select("symbol"))
+    assert {tuple(r) for r in similar.collect()} == want
+    assert "NestedLoop" not in similar._jdf.queryExecution().executedPlan().toString()
+
+
 def test_master_csv(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text(' SYMBOL,NAME OF COMPANY , SERIES, DATE OF LISTING, PAID UP VALUE, MARKET LOT, ISIN NUMBER, FACE VALUE\n" tcs ","Tata, Ltd ",eq,06-OCT-2008,10,1,IN1,x\nTCS,Zweite,EQ,bad,,one,,1\n,No symbol,EQ,,,,,\nA,,EQ,,,,,\nB,Beta,,2019-05-12,1.5,7,,2\n', encoding="utf-8")
