@@ -41,8 +41,10 @@ _CLOSING_LINE = re.compile(
     |.*\|.*                                               # table row
     |.*\t.*""", re.X | re.I)
 _BEFORE_LINK = re.compile(r"(?:…|\.\.\.|[.!?\]]|\n)\s*\Z")
-#: Characters of an ending that are inspected; all lengths are those of whole texts.
+#: Characters of a last line or sentence and of a sign that are inspected; mark-up, white space and repeated signs are followed through the whole text, and all lengths
+#: are those of whole texts.
 TAIL = 400
+BRACKETS = {"]": "[", ")": "("}
 VARIANTS = ("characters", "utf8_bytes", "utf16_units", "html_escaped", "html_escaped_all", "json_escaped", "json_ascii", "crlf", "lf")
 
 
@@ -62,32 +64,36 @@ def lengths(text: str) -> tuple[int, ...]:
 
 def strip_signs(text: str) -> tuple[int, bool, bool]:
     """Length of the text without signs of omission, links to the rest and closing mark-up at its end; whether a sign of omission, whether a link was there."""
-    end, omitted, linked = len(text), False, False
-    tail = text[-TAIL:]
-    cut = end - len(tail)
-    body = tail.rstrip()
+    omitted, linked = False, False
+    body = text.rstrip()
     while body:
         last = body[-1]
-        if last == ">" and (m := _CLOSING_TAG.search(body) or _SINGLE_TAG.search(body)):
-            body = body[: m.start()].rstrip()
-        elif last in "….])�;" and (m := _OMISSION.search(body)):
-            body, omitted = body[: m.start()], True
-        elif last in "egytGE»›→>]).…" and (m := _LINK.search(body)) and (omitted or linked or _BEFORE_LINK.search(body[: m.start()])):
-            body, linked = body[: m.start()].rstrip(), True
+        if last == ">" and (at := body.rfind("<")) >= 0 and (_CLOSING_TAG.match(body, at) or _SINGLE_TAG.match(body, at)):
+            body = body[:at].rstrip()
+            continue
+        cut = max(0, len(body) - TAIL)
+        if last in BRACKETS:
+            cut = max(0, min(cut, body.rfind(BRACKETS[last]) - 1))
+        tail = body[cut:]
+        if last in "….])�;" and (m := _OMISSION.search(tail)):
+            body, omitted = body[: cut + m.start()].rstrip(), True
+        elif last in "egytGE»›→>]).…" and (m := _LINK.search(tail)) and (omitted or linked or _BEFORE_LINK.search(tail[: m.start()])):
+            body, linked = body[: cut + m.start()].rstrip(), True
         else:
             break
-    return cut + len(body), omitted, linked
+    return len(body), omitted, linked
 
 
 def is_cut(text: str, at_limit: bool) -> bool:
     """Whether text stops inside a word, a sentence or a piece of mark-up. at_limit: it has a length at which its source cuts."""
     end, omitted, _ = strip_signs(text)
-    body = text[max(0, end - TAIL) : end].rstrip()
+    whole = text[:end].rstrip()
+    body = whole[-TAIL:]
     if not body:
         return False
     if _TERMINATED.search(body[-12:]):
         return (at_limit or omitted) and bool(_OPEN_NUMBER.search(body[-16:]))
-    if omitted or _OPEN_MARKUP.search(body[-200:]):
+    if omitted or _OPEN_MARKUP.search(body[-200:]) or (at := whole.rfind("<")) >= 0 and _OPEN_MARKUP.match(whole, at):
         return True
     segment = _SEGMENT.split(body)[-1].strip()
     line = body.rsplit("\n", 1)[-1].strip()

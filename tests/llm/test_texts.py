@@ -17,6 +17,14 @@ def test_endings(ending, cut):
     assert tr.is_cut(BODY + ending, False) is cut
 
 
+@pytest.mark.parametrize(("ending", "cut"), [
+    ('See <a href="https://site.example/' + "a" * 300, True), ('See <img alt="" src="https://site.example/' + "a" * 900, True), ("The margin rose." + "</p>" * 300, False), ("the margin ro" + "</p>" * 300, True),
+    ("The margin rose." + " " * 1000, False), ("The margin ro" + " " * 1000 + "</p>" + " " * 1000, True), ('The margin rose.<img src="' + "a" * 900 + '">', False),
+])
+def test_far_markup(ending, cut):
+    assert tr.is_cut(BODY + ending, False) is cut
+
+
 @pytest.mark.parametrize("text", ["", " \n", "Log in to read the full article.", "Content not available in your region.", "…"])
 def test_no_text_is_not_cut(text):
     assert not tr.is_cut(text, False)
