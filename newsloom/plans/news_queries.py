@@ -104,21 +104,29 @@ Q["url_clean"] = lambda spark, d: news(spark, d).select("id", T.clean_url(F.col(
 S["url_clean"] = "SELECT id, " + sql_strip("lower(regexp_replace(regexp_replace(article_url, '[?&](utm_|ref=|source=|campaign=)[^&]*', '', 'g'), '[/#]+$', ''))") + " AS url FROM news_cache"
 
 
-def _feed(spark, d):
+def _feed_articles(spark, d):
     """Every cached article as a feed item of its source, and back: what parsing gives is what was written."""
     rows = news(spark, d).where("article_title is not null and article_url is not null")
-    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\r"), F.lit("&#13;"))
     xml = F.concat(
-        F.lit("<item><title>"), esc(F.col("article_title")), F.lit("</title><link>"), esc(F.col("article_url")), F.lit("</link><description>"), esc(F.substring("article_content", 1, 80)),
+        F.lit("<item><title>"), esc(F.col("article_title")), F.lit("</title><link>"), esc(F.col("article_url")), F.lit("</link><description>"), esc(F.col("article_content")),
         F.lit("</description><category>markets</category><category>"), esc(F.coalesce("source_name", F.lit("none"))), F.lit("</category></item>"))
     items = feeds.parse_items(rows.select("id", xml.alias("xml")))
-    return feeds.to_articles(items).select("id", T.strip(F.col("title")).alias("title"), T.strip(F.col("link")).alias("link"), F.array_join("category", "|").alias("categories"))
+    return feeds.to_articles(items)
+
+
+def _feed(spark, d):
+    return _feed_articles(spark, d).select("id", T.strip(F.col("title")).alias("title"), T.strip(F.col("link")).alias("link"), F.array_join("category", "|").alias("categories"))
 
 
 Q["rss_parse"] = _feed
 S["rss_parse"] = rf"""SELECT id, {sql_strip('article_title')} AS title, {sql_strip('article_url')} AS link, 'markets|' || coalesce(source_name, 'none') AS categories FROM news_cache
 WHERE regexp_replace(coalesce(article_title, ''), '{WS}', '', 'g') <> '' AND regexp_replace(coalesce(article_url, ''), '{WS}', '', 'g') <> ''"""
 
+_CONTENT = "coalesce(article_content, '')"
+Q["rss_descriptions"] = lambda spark, d: _feed_articles(spark, d).select("id", T.strip(F.col("description")).alias("description")).withColumn("length", F.length("description"))
+S["rss_descriptions"] = S["rss_parse"].replace(f"{sql_strip('article_title')} AS title, {sql_strip('article_url')} AS link, 'markets|' || coalesce(source_name, 'none') AS categories", f"{sql_strip(_CONTENT)} AS description, length({sql_strip(_CONTENT)})::INT AS length")
+
 Q["source_status"] = lambda spark, d: read(spark, d, "news_sources").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("active", F.lit(True))).alias("active"))
 S["source_status"] = "SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(active, true)) AS active FROM news_sources"
 
