@@ -1,8 +1,10 @@
 """Texts of varying length combined into containers of fixed capacity.
 
-A dynamic program over the global histogram of sizes chooses length buckets that minimise padding. Containers form inside
-the bucket of their largest item, and what a container has left of its token budget is filled from smaller buckets. All of that happens on
-the counts of the buckets, whose number is fixed; the rows only learn their rank in their bucket and look up their container.
+A dynamic program over the global histogram of sizes chooses the length buckets that pad least. Inside each bucket, batches form by token budget: items of
+that bucket alone whose tokens fill a container but for SLACK. What no bucket can fill by itself (above all items of more than half the capacity) is left for
+a last step, which combines the leftovers of all buckets, largest first; the shortest items are held back for it, as many as the leftovers have room for.
+All of that happens on the counts of the sizes, of which there are at most as many as the capacity; the rows only learn their rank
+among the items of their size and look up their container.
 """
 
 from __future__ import annotations
@@ -19,9 +21,13 @@ from newsloom.llm import tokens
 from newsloom.session import broadcast_if_small, materialise, spread
 
 CAPACITY = 2048
-#: Length buckets that the dynamic program may use. As many as sizes leave no padding at all; fewer make sense for far larger capacities.
-BUCKETS = 2048
-#: Rows of one bucket that are ranked in one task; larger buckets are split by a salt.
+#: Length buckets that the dynamic program may use, far fewer than sizes: a bucket must be wide enough for its items' sizes to add up to the capacity.
+BUCKETS = 16
+#: Unused tokens with which a batch inside a bucket still counts as full.
+SLACK = CAPACITY // 100
+#: Held back of the shortest items for the last step, in parts of the room that its items leave.
+HELD = 1.05
+#: Rows of one size that are ranked in one task; larger ones are split by a salt.
 RANKED = 200_000
 
 
@@ -59,29 +65,98 @@ def bucket_bounds(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     return sorted(set(bounds))
 
 
-def compose(bounds: list[int], counts: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Segments (bucket, first rank, container of the first rank, items per container) and the number of containers.
+Pattern = tuple[dict[int, int], int]
 
-    Each pattern takes the largest bucket that still has items and fits, again and again, and is repeated as often as its
-    buckets last; each pattern empties a bucket, so that there are few patterns whatever the counts.
+
+def bucket_batches(left: list[int], low: int, high: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[Pattern]:
+    """Batches of the items with sizes from low to high alone: patterns (how many of each size) that leave at most slack unused, and how often each occurs.
+
+    A pattern takes the largest size after which whole items of the bucket can still fill the rest, and is repeated as often as its sizes last, so
+    that there are few patterns whatever the counts. What is taken is taken off left; the bucket ends with the first pattern that isn't full.
     """
-    left = list(counts)
-    cursor = [0] * len(bounds)
-    segments, containers = [], 0
-    while any(left):
+    out: list[Pattern] = []
+    own = [s for s in range(high, low - 1, -1) if left[s]]
+    while own:
+        room, used, least = capacity, {}, own[-1]
+        while room >= least:
+            for s in own:
+                rest = room - s
+                if rest < 0 or used.get(s, 0) >= left[s]:
+                    continue
+                more = rest // least
+                if rest <= slack or more and more * own[0] >= rest - slack:
+                    used[s], room = used.get(s, 0) + 1, rest
+                    break
+            else:
+                break
+        if not used or room > slack:
+            break
+        out.append((used, _repeat(used, left)))
+        own = [s for s in own if left[s]]
+    return out
+
+
+def mixed_batches(left: list[int], capacity: int = CAPACITY) -> list[Pattern]:
+    """The last step: patterns over all sizes that are left, each taking the largest that fits, again and again."""
+    out: list[Pattern] = []
+    own = [s for s in range(capacity, 0, -1) if left[s]]
+    while own:
         room, used = capacity, {}
-        for k in range(len(bounds) - 1, -1, -1):
-            take = min(room // bounds[k], left[k])
-            if take:
-                used[k] = take
-                room -= take * bounds[k]
-        times = min(left[k] // u for k, u in used.items())
-        for k, u in used.items():
-            segments.append((k, cursor[k], containers, u))
-            cursor[k] += u * times
-            left[k] -= u * times
+        for s in own:
+            if take := min(room // s, left[s]):
+                used[s] = take
+                room -= take * s
+        out.append((used, _repeat(used, left)))
+        own = [s for s in own if left[s]]
+    return out
+
+
+def _repeat(used: dict[int, int], left: list[int]) -> int:
+    times = min(left[s] // n for s, n in used.items())
+    for s, n in used.items():
+        left[s] -= n * times
+    return times
+
+
+def held_back(counts: np.ndarray, bounds: list[int], capacity: int = CAPACITY, slack: int = SLACK, share: float = HELD) -> list[int]:
+    """How many of each size wait for the last step: the shortest, with share times the tokens that the buckets which can't fill a container leave unused."""
+    room, low = 0.0, 1
+    sizes = np.arange(len(counts))
+    for high in bounds:
+        n, tokens_in = int(counts[low : high + 1].sum()), float((counts * sizes)[low : high + 1].sum())
+        fit = capacity // high
+        if n and fit * high < capacity - slack and (fit + 1) * low > capacity:
+            room += n / fit * capacity - tokens_in
+        low = high + 1
+    held, got = [0] * len(counts), 0
+    for s in range(1, capacity):
+        if got >= room * share:
+            break
+        held[s] = min(int(counts[s]), int(-(-(room * share - got) // s)))
+        got += held[s] * s
+    return held
+
+
+def plan(counts: np.ndarray, buckets: int = BUCKETS, capacity: int = CAPACITY, slack: int = SLACK) -> tuple[list[int], np.ndarray, int]:
+    """Bounds of the buckets, segments (size, first rank, container of the first rank, items per container, bound of the bucket or 0 in the last step), and the number of containers."""
+    bounds = bucket_bounds(counts, buckets)
+    held = held_back(counts, bounds, capacity, slack)
+    left = [int(c) - h for c, h in zip(counts, held)]
+    patterns: list[tuple[dict, int, int]] = []
+    low = 1
+    for high in bounds:
+        patterns += [(used, times, high) for used, times in bucket_batches(left, low, high, capacity, slack)]
+        low = high + 1
+    left = [a + b for a, b in zip(left, held)]
+    patterns += [(used, times, 0) for used, times in mixed_batches(left, capacity)]
+    cursor = [0] * len(left)
+    segments, containers = [], 0
+    for used, times, of in patterns:
+        for s, n in used.items():
+            segments.append((s, cursor[s], containers, n, of))
+            cursor[s] += n * times
         containers += times
-    return np.array(segments, np.int64).reshape(-1, 4), containers
+    return bounds, np.array(sorted(segments), np.int64).reshape(-1, 5), containers
 
 
 def _pieces(folder: str, capacity: int):
@@ -104,50 +179,63 @@ def _pieces(folder: str, capacity: int):
     return run
 
 
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, folder: str = tokens.TOKENIZERS) -> tuple[DataFrame, np.ndarray]:
+    """The pieces of all texts with their sizes, written, and the histogram of sizes: at most capacity + 1 rows come to the driver."""
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    items = materialise(rows.mapInArrow(_pieces(folder, capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int"), "sizes")
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, c in items.groupBy("n_tokens").count().collect():
+        counts[n] = c
+    counts[0] = 0
+    return items, counts
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, buckets: int = BUCKETS, folder: str = tokens.TOKENIZERS) -> DataFrame:
-    """doc_id, piece, token_start, n_tokens, container: every document in a container of at most capacity tokens.
+    """doc_id, piece, token_start, n_tokens, container, bucket, mixed: every document in a container of at most capacity tokens.
 
+    bucket is the upper bound of the item's length bucket; mixed tells whether its container comes from the last step, all others hold items of one bucket.
     Only a text of more than capacity tokens is split, into full pieces and a rest. A null, empty text has no tokens, takes no room
-    and goes to container 0. Repeated rows are items of their own; other columns are left out; an empty table gives none.
+    and goes to container 0, bucket 0. Repeated rows are items of their own; other columns are left out; an empty table gives none.
     """
-    items = materialise(
-        spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(_pieces(folder, capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int"), "sizes")
-    histogram = items.groupBy("n_tokens").count().collect()  # at most capacity + 1 rows
-    counts = np.zeros(capacity + 1, np.int64)
-    for n, c in histogram:
-        counts[n] = c
-    counts[0] = 0
-    bounds = bucket_bounds(counts, buckets)
-    bucket_of = np.searchsorted(bounds, np.arange(capacity + 1)) if bounds else np.zeros(capacity + 1, np.int64)
-    per_bucket = np.bincount(bucket_of, weights=counts, minlength=len(bounds)).astype(np.int64)[: len(bounds)]
-    segments, _ = compose(bounds, per_bucket.tolist(), capacity)
-    order = np.lexsort((segments[:, 1], segments[:, 0]))
-    segments = segments[order]
+    items, counts = sized(docs, doc_id, text, capacity, folder)
+    bounds, segments, _ = plan(counts, buckets, capacity, capacity // 100)
 
-    salts = int(per_bucket.max(initial=0)) // RANKED + 1
+    salts = int(counts.max(initial=0)) // RANKED + 1
     salted = items.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    lookup = F.array(*[F.lit(int(b)) for b in bucket_of])
-    salted = salted.withColumn("bucket", F.get(lookup, F.col("n_tokens")))
-    group = W.partitionBy("bucket", "salt")
+    group = W.partitionBy("n_tokens", "salt")
     ranked = salted.withColumn("rank", F.row_number().over(group.orderBy("doc_id", "piece")) - 1)
     if salts > 1:
-        held = salted.groupBy("bucket", "salt").count()
-        before = held.withColumn("before", F.sum("count").over(W.partitionBy("bucket").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))).na.fill(0, ["before"])
-        ranked = ranked.join(broadcast_if_small(before.drop("count")), ["bucket", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+        held = salted.groupBy("n_tokens", "salt").count()
+        before = held.withColumn("before", F.sum("count").over(W.partitionBy("n_tokens").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))).na.fill(0, ["before"])
+        ranked = ranked.join(broadcast_if_small(before.drop("count")), ["n_tokens", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = 1 << 44  # ranks stay below
         keys = segments[:, 0] * shift + segments[:, 1]
+        upper = np.array(bounds, np.int32)
         for b in batches:
-            bucket, rank = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5))
-            at = np.searchsorted(keys, bucket * shift + rank, side="right") - 1
+            size, rank = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
+            at = np.searchsorted(keys, size * shift + rank, side="right") - 1
             container = segments[at, 2] + (rank - segments[at, 1]) // segments[at, 3]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(4)], pa.array(container, pa.int64())], names=["doc_id", "piece", "token_start", "n_tokens", "container"])
+            bucket = upper[np.searchsorted(upper, size)] if len(upper) else size.astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(k) for k in range(4)], pa.array(container, pa.int64()), pa.array(bucket, pa.int32()), pa.array(segments[at, 4] == 0)], names=names)
 
-    schema = "doc_id bigint, piece int, token_start bigint, n_tokens int, container bigint"
-    placed = ranked.select("doc_id", "piece", "token_start", "n_tokens", F.col("bucket").cast("bigint"), F.col("rank").cast("bigint")).mapInArrow(place, schema)
-    return placed.unionByName(items.where("n_tokens = 0").withColumn("container", F.lit(0).cast("bigint")))
+    schema = "doc_id bigint, piece int, token_start bigint, n_tokens int, container bigint, bucket int, mixed boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+    placed = ranked.select("doc_id", "piece", "token_start", "n_tokens", F.col("rank").cast("bigint")).mapInArrow(place, schema)
+    empty = items.where("n_tokens = 0").withColumns({"container": F.lit(0).cast("bigint"), "bucket": F.lit(0), "mixed": F.lit(False)})
+    return placed.unionByName(empty)
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def p8_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the plan does with each length bucket: its bound, items, containers that it fills alone, and the items that go to the last step."""
+    packed = p8_containers(spark, sf_dir).where("n_tokens > 0")
+    alone = F.when(~F.col("mixed"), F.col("container"))
+    per = packed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"), F.count_distinct(alone).alias("containers_alone"), F.count_if("mixed").alias("items_mixed"))
+    return per

@@ -16,6 +16,7 @@ QUERIES: dict = {
     "p6_pieces": splitting.p6_pieces,
     "p7_ids": encode.p7_ids,
     "p8_containers": packing.p8_containers,
+    "p8_buckets": packing.p8_buckets,
     "p9_found": lookalike.p9_found,
     "p9_texts": lookalike.p9_texts,
     "p9_classes": lookalike.p9_classes,

@@ -92,3 +92,37 @@ def test_containers(spark, monkeypatch, ranked):
         own = got[got.doc_id == k].sort_values("piece")
         assert len(own) == max(1, -(-n // 2048)) and own.token_start.tolist() == [2048 * i for i in range(len(own))]
     assert packing.pack(df.limit(0)).count() == 0
+    filled = got[got.n_tokens > 0]
+    assert (filled[~filled.mixed].groupby("container").bucket.nunique() == 1).all() and (filled.n_tokens <= filled.bucket).all()
+    assert filled.groupby("container").mixed.nunique().max() == 1
+
+
+def test_the_program_decides_and_batches_stay_in_their_bucket(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate([rng.integers(20, 500, 20_000), rng.integers(500, 2049, 1500)])
+    counts = np.bincount(sizes, minlength=packing.CAPACITY + 1)
+    assert packing.BUCKETS < (counts > 0).sum() / 10
+    asked = []
+    real = packing.bucket_bounds
+    monkeypatch.setattr(packing, "bucket_bounds", lambda c, k: asked.append(k) or real(c, k))
+    bounds, segments, containers = packing.plan(counts)
+    assert asked == [packing.BUCKETS] and len(bounds) == packing.BUCKETS
+    low = dict(zip(bounds, [0, *bounds]))
+    for size, _, _, _, of in segments.tolist():
+        assert not of or low[of] < size <= of
+    # all items are placed once, and no container holds more than it can
+    room = np.zeros(containers, np.int64)
+    placed = np.zeros_like(counts)
+    by_size: dict = {}
+    for size, first, container, per, of in segments.tolist():
+        by_size.setdefault(size, []).append((first, container, per))
+    for size, own in by_size.items():
+        for (first, container, per), (end, *_) in zip(own, own[1:] + [(int(counts[size]),)]):
+            ranks = np.arange(end - first)
+            np.add.at(room, container + ranks // per, size)
+            placed[size] += end - first
+    assert (placed == counts).all() and room.max() <= packing.CAPACITY
+    tokens_in = int((counts * np.arange(len(counts))).sum())
+    assert containers <= 1.002 * tokens_in / packing.CAPACITY + 1
+    alone = {c for size, first, c, per, of in segments.tolist() if of}
+    assert len(alone) > 10
