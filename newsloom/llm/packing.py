@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: Length buckets that the dynamic program may use, far fewer than sizes: a bucket must be wide enough for its items' sizes to add up to the capacity.
 BUCKETS = 16
 #: Unused tokens with which a batch inside a bucket still counts as full.
-SLACK = CAPACITY // 100
+SLACK = CAPACITY // 512
 #: Held back of the shortest items for the last step, in parts of the room that its items leave.
 HELD = 1.05
 #: Rows of one size that are ranked in one task; larger ones are split by a salt.
@@ -71,26 +71,28 @@ Pattern = tuple[dict[int, int], int]
 def bucket_batches(left: list[int], low: int, high: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[Pattern]:
     """Batches of the items with sizes from low to high alone: patterns (how many of each size) that leave at most slack unused, and how often each occurs.
 
-    A pattern takes the largest size after which whole items of the bucket can still fill the rest, and is repeated as often as its sizes last, so
-    that there are few patterns whatever the counts. What is taken is taken off left; the bucket ends with the first pattern that isn't full.
+    A pattern begins with the largest size and goes on with the sizes nearest to an even share of the rest, each chosen so that whole items of the bucket can still
+    fill what remains. It is repeated as often as its sizes last, so that there are few patterns whatever the counts. A size that heads no full pattern is left.
     """
     out: list[Pattern] = []
     own = [s for s in range(high, low - 1, -1) if left[s]]
     while own:
-        room, used, least = capacity, {}, own[-1]
+        room, used, least, most = capacity, {}, own[-1], own[0]
         while room >= least:
-            for s in own:
+            share = room / (room // least)
+            for s in sorted(own, key=lambda s: abs(s - share)) if used else own:
                 rest = room - s
                 if rest < 0 or used.get(s, 0) >= left[s]:
                     continue
                 more = rest // least
-                if rest <= slack or more and more * own[0] >= rest - slack:
+                if rest <= slack or more and more * most >= rest - slack:
                     used[s], room = used.get(s, 0) + 1, rest
                     break
             else:
                 break
         if not used or room > slack:
-            break
+            own = own[1:]
+            continue
         out.append((used, _repeat(used, left)))
         own = [s for s in own if left[s]]
     return out
@@ -198,7 +200,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     and goes to container 0, bucket 0. Repeated rows are items of their own; other columns are left out; an empty table gives none.
     """
     items, counts = sized(docs, doc_id, text, capacity, folder)
-    bounds, segments, _ = plan(counts, buckets, capacity, capacity // 100)
+    bounds, segments, _ = plan(counts, buckets, capacity, capacity // 512)
 
     salts = int(counts.max(initial=0)) // RANKED + 1
     salted = items.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
