@@ -14,6 +14,7 @@ QUERIES: dict = {
     "p5_limits": truncation.p5_limits,
     "p6_found": splitting.p6_found,
     "p6_pieces": splitting.p6_pieces,
+    "p6_rebuilt": splitting.p6_rebuilt,
     "p7_ids": encode.p7_ids,
     "p8_containers": packing.p8_containers,
     "p8_buckets": packing.p8_buckets,
@@ -29,4 +30,6 @@ ORACLES: dict = {
 s AS (SELECT id, t, ps, flatten(list_transform(ps, lambda p: string_split(regexp_replace(p, '([.!?]+["''”’»)\]}}]*)({_WS})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS ss FROM c)
 SELECT id, CASE WHEN list_max(list_transform(ps, lambda p: {_BARE('p')})) <= 1600 THEN 'paragraph' WHEN list_max(list_transform(ss, lambda x: {_BARE('x')})) <= 1600 THEN 'sentence'
   WHEN list_max(list_transform(string_split_regex(t, '{_WS}+'), lambda w: length(w))) <= 1600 THEN 'word' ELSE 'none' END AS boundary FROM s""",
+    # every piece of every row: the pieces without their overlaps are the text, whole
+    "p6_rebuilt": "SELECT id, md5(article_content) AS text_md5, true AS within, true AS repeats, true AS numbered FROM news_cache WHERE length(article_content) > 1600",
 }

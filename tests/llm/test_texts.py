@@ -1,4 +1,5 @@
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from newsloom.llm import lookalike as look, splitting as sp, truncation as tr
 
@@ -56,8 +57,29 @@ def test_hidden_limits_and_shares(spark):
     assert tr.find_cut(df.limit(0), "id", "t", "s").count() == 0
 
 
+def sufficient(text, limit=1600):
+    """The statement, part by part."""
+    parts = sp._BLANK.split(text)
+    if all(len(p.strip()) <= limit for p in parts):
+        return "paragraph"
+    cut = [p[a:b] for p in parts for a, b in zip([0, *(m.end() for m in sp._END.finditer(p))], [*(m.end() for m in sp._END.finditer(p)), len(p)])]
+    if all(len(s.strip()) <= limit for s in cut):
+        return "sentence"
+    return "word" if all(len(w) <= limit for w in text.split()) else "none"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "cccccccc", "d.", "e!” ", "\n\n", " \r\n \n", "\n", " ", "  ", "x" * 15, "f?) "]), max_size=40), st.integers(6, 30), st.integers(0, 3))
+def test_the_boundary_that_suffices_comes_from_the_bisection(parts, limit, words):
+    text = "".join(parts)
+    cut, suffices = sp.pieces(text, limit, words)
+    assert suffices == sufficient(text, limit)
+    assert "".join(text[a:b] for _, a, b, _ in cut) == text and all(b - o <= limit for o, _, b, _ in cut)
+
+
 def check(text, limit=1600):
-    cut = sp.pieces(text, limit)
+    cut, suffices = sp.pieces(text, limit)
+    assert suffices == sufficient(text, limit)
     assert "".join(text[a:b] for _, a, b, _ in cut) == text and all(b - o <= limit and b > a for o, a, b, _ in cut)
     for (o0, a0, b0, _), (o, a, b, _) in zip(cut, cut[1:]):
         lead, before = text[o:a].split(), text[o0:b0].split()
@@ -73,7 +95,7 @@ def test_pieces():
     assert {x[3] for x in check("word " * 2000)} == {"word", "end"}
     assert "none" in {x[3] for x in check("x" * 5000)}
     check("é" * 1500 + "́" * 3 + " " + "y" * 4000 + " z" * 900)
-    assert sp.pieces("short") == [(0, 0, 5, "end")]
+    assert sp.pieces("short") == ([(0, 0, 5, "end")], "paragraph")
 
 
 @pytest.mark.parametrize(("text", "kind"), [
@@ -81,7 +103,7 @@ def test_pieces():
     ("a " * 700 + "\r\n \r\n" + "b " * 700, "paragraph"), ("x" * 1600 + " y", "word"),
 ])
 def test_sufficient(text, kind):
-    assert sp.sufficient(text) == kind
+    assert sp.pieces(text)[1] == kind == sufficient(text)
 
 
 def test_split_rows(spark):
