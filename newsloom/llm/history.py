@@ -1,12 +1,12 @@
 """New batches checked for repeats against everything accepted so far, without working through the history again.
 
-A store keeps, for each accepted article, the fingerprints by which a repeat must be found, and Bloom filters over them in partitions. A batch's
-fingerprints are prescreened by the filters; only positives are looked up in the store, and the shared coverage of the word sets is verified. What is accepted is
-appended to both.
+A store keeps the fingerprints of the accepted articles in parts (prints.Part), each with Bloom filters over them. Each batch is one query: its items' fingerprints go to
+their parts; there the filters prescreen them, only positives are looked up, the shared coverage of the word sets is verified, and the batch's own fingerprints are
+left to be taken in. What is linked within the batch is resolved in order; the ids of the repeats go with the next batch to the parts, which leave them out.
 
-Fingerprints of a headline are winnowed from its set of words: in one fixed order of all words, rare ones first, two sets with at
-least 0.8 of their union in common share two of the first n - ceil(0.8 n) + 2 words, so that each pair of those words is a fingerprint. Above PAIR_WORDS words the
-shared first word does instead. Both are exact: no alike headline is missed.
+Fingerprints are selected as in winnowing: of a whole set of words only the least ones in a fixed order, rare words first, so many that two alike sets surely share some. With at
+least 0.8 of their union in common they share two of the first n - ceil(0.8 n) + 2 words, so that each pair of those words is a fingerprint. Above PAIR_WORDS words the
+shared first word does instead. Both are exact: no alike headline is missed. A pair belongs to the part of one of its words, so that an item goes to few parts.
 """
 
 from __future__ import annotations
@@ -18,24 +18,31 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.timestamps import parse_instant
-from newsloom.llm import bloom
+from newsloom.llm.flat import Folder
+from newsloom.llm.prints import Part, Sets, links_within, ragged
 from newsloom.llm.words import WordHashes, find_words, mix
-from newsloom.session import materialise, path_exists, remove_dir, shared_dir, spread
+from newsloom.session import materialise, remove_dir, shared_dir, spread
 
 #: Sets of at most so many words are found by pairs of words; from SINGLE_WORDS on also by single words, so that sizes in between meet both ways.
 PAIR_WORDS, SINGLE_WORDS = 64, 52
 #: Counters of the word-frequency sketch that orders the words; fixed when a store is made.
 ORDER_BITS = 16
-#: Conflicts of a batch that one task resolves; more are resolved by rounds of joins.
+#: Conflicts within a batch that one task resolves; more are resolved by rounds of joins, with the same result.
 ONE_TASK = 1_000_000
-#: Pairs of items with a common fingerprint that a batch may compare at once.
-PAIRS = 100_000_000
+#: Items of a history for each part of its store, and the least number of parts.
+PART_ITEMS, LEAST_PARTS = 200_000, 4
+#: Items, and repeats of the batch before, that one task takes batch by batch through all steps without a shuffle. A larger batch is shuffled by part, with the same result.
+SMALL = 50_000
+#: The parts' runs are merged, a task for each part, when so many times the items of the last time were added.
+COMPACT = 1.5
 LAST = 2**62
+DAY = 86_400_000_000
 
 # Parameters that tell where a reader came from.
 _TRACKING = {"ref", "source", "campaign", "gclid", "fbclid"}
@@ -104,35 +111,13 @@ def word_order(items: DataFrame) -> np.ndarray:
         for b in batches:
             values = b.column(0).flatten().to_numpy(zero_copy_only=False)
             counts += np.bincount(values & ((1 << ORDER_BITS) - 1), minlength=len(counts))
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["word", "n"])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                counts += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
-
-    rows = items.select("words").mapInArrow(local, "counts binary").repartition(1).mapInArrow(total, "counts binary").collect()
-    return np.frombuffer(rows[0][0], np.int64)
-
-
-def fingerprints(words: np.ndarray, group: int, order: np.ndarray) -> np.ndarray:
-    """Fingerprints of one set of word hashes, as 64-bit integers salted with its group. Sets of fewer than four words can only be alike if equal."""
-    n = len(words)
-    if n < 4:
-        return np.empty(0, np.int64)
-    first = n - (4 * n + 4) // 5
-    lead = words[np.lexsort((words, order[words & ((1 << ORDER_BITS) - 1)]))][: first + 2].astype(np.uint64)
-    lead = mix(lead + np.uint64(group & (2**64 - 1)))
-    out = []
-    if n <= PAIR_WORDS:
-        a, b = _pairs(first + 2)
-        x, y = np.minimum(lead[a], lead[b]), np.maximum(lead[a], lead[b])
-        out.append(mix(x * np.uint64(0x9E3779B97F4A7C15) + y))
-    if n >= SINGLE_WORDS:
-        out.append(mix(lead[: first + 1] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate(out)).view(np.int64)
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for word, n in items.select("words").mapInArrow(local, "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():  # at most 2^ORDER_BITS rows
+        counts[word] = n
+    return counts
 
 
 _pair_memo: dict = {}
@@ -144,23 +129,67 @@ def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pair_memo[n]
 
 
+def fingerprints(offset: np.ndarray, words: np.ndarray, group: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, word, fingerprint) of many sets of word hashes: fingerprints as 64-bit integers salted with the set's group, and the word whose part each belongs to.
+
+    Sets of fewer than four words can only be alike if equal, and have none. Sets of one size are worked on together.
+    """
+    sizes = np.diff(offset)
+    out: list = [[], [], []]
+    for n in np.unique(sizes[sizes >= 4]).tolist():
+        at = np.flatnonzero(sizes == n)
+        sets = words[offset[at][:, None] + np.arange(n)]
+        first = n - (4 * n + 4) // 5
+        ranked = np.lexsort((sets, order[sets & ((1 << ORDER_BITS) - 1)]), axis=-1)[:, : first + 2]
+        lead = np.take_along_axis(sets, ranked, 1).astype(np.uint64)
+        lead = mix(lead + group[at].astype(np.uint64)[:, None])
+        if n <= PAIR_WORDS:
+            i, j = _pairs(first + 2)
+            x, y = np.minimum(lead[:, i], lead[:, j]), np.maximum(lead[:, i], lead[:, j])
+            out[0].append(np.repeat(at, len(i)))
+            out[1].append(x.ravel())
+            out[2].append(mix(x * np.uint64(0x9E3779B97F4A7C15) + y).ravel())
+        if n >= SINGLE_WORDS:
+            x = lead[:, : first + 1]
+            out[0].append(np.repeat(at, first + 1))
+            out[1].append(x.ravel())
+            out[2].append(mix(x ^ np.uint64(0x5851F42D4C957F2D)).ravel())
+    if not out[0]:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    item, word, prints = (np.concatenate(x) for x in out)
+    return item, word, prints.view(np.int64)
+
+
+#: What a part says of a batch: an item repeats an accepted article (HIT), is linked to an earlier one of the batch with id key (LINK), shares key with others of the batch (SHARES).
+HIT, LINK, SHARES = 0, 1, 2
+CONFLICT = "kind int, key bigint, id bigint, micros bigint, parts array<int>"
+
+
 def resolve_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Goes through a batch's conflicting items in order: an item is a repeat if one of its groups has an accepted item or an accepted item is linked to it."""
-    groups: dict = defaultdict(list)
+    """Goes through a batch's conflicting items in order: an item is a repeat if it has a hit, if one of its keys has an accepted item, or if an accepted item is linked to it.
+
+    Gives the repeats with their parts, and whether the store told.
+    """
+    shares: dict = defaultdict(list)
     links: dict = defaultdict(list)
-    at: dict = {}
+    hit: set = set()
+    at, parts = {}, {}
     for b in batches:
-        for kind, key, item, micros in zip(*(b.column(k).to_pylist() for k in range(4))):
-            at[item] = micros
-            (groups if kind else links)[item].append(key)
+        for kind, key, item, micros, own in zip(*(b.column(k).to_pylist() for k in range(5))):
+            at[item], parts[item] = micros, own
+            if kind == HIT:
+                hit.add(item)
+            else:
+                (links if kind == LINK else shares)[item].append(key)
     taken, accepted, killed = set(), set(), []
     for item in sorted(at, key=lambda i: (at[i], i)):
-        if any(g in taken for g in groups.get(item, ())) or any(s in accepted for s in links.get(item, ())):
+        if item in hit or any(k in taken for k in shares.get(item, ())) or any(s in accepted for s in links.get(item, ())):
             killed.append(item)
         else:
             accepted.add(item)
-            taken.update(groups.get(item, ()))
-    yield pa.RecordBatch.from_arrays([pa.array(killed, pa.int64())], names=["id"])
+            taken.update(shares.get(item, ()))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(killed, pa.int64()), pa.array([parts[i] for i in killed], pa.list_(pa.int32())), pa.array([i in hit for i in killed], pa.bool_())], names=["id", "parts", "by_store"])
 
 
 def resolve_in_rounds(conflicts: DataFrame) -> DataFrame:
@@ -193,171 +222,333 @@ def resolve_in_rounds(conflicts: DataFrame) -> DataFrame:
     return killed if killed is not None else spark.createDataFrame([], "id bigint")
 
 
+KILLED = "id bigint, parts array<int>, by_store boolean"
+
+
 class AcceptedStore:
-    """The accepted articles at path: tables of items and fingerprints and the partitions' Bloom filters, one folder per batch. Only appended to."""
+    """The accepted articles at path: parts with their fingerprints and filters, and the repeats of each batch, whose folder also says that the batch is done."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = LEAST_PARTS):
         self.spark, self.path, self.parts = spark, path or shared_dir(spark, "accepted"), parts
-        self._order: np.ndarray | None = None
-
-    def table(self, name: str) -> DataFrame | None:
-        at = f"{self.path}/{name}"
-        return self.spark.read.parquet(at) if path_exists(self.spark, at) else None
-
-    def order(self, items: DataFrame) -> np.ndarray:
-        """The store's order of words; made from items, all rows at hand, when the store is new."""
-        if self._order is None:
-            kept = self.table("order")
-            if kept is None:
-                counts = word_order(items)
-                row = self.spark.createDataFrame([(bytearray(counts.tobytes()),)], "counts binary")
-                row.write.parquet(f"{self.path}/order")
-                self._order = counts
+        self._order, self._grown, self._merged = None, 0, 0
+        marks = Folder(f"{self.path}/done")
+        self._stretches = sorted(tuple(int(b) for b in name.split("_")) for name in marks.names() if name[0] != ".")
+        self.done = sorted(int(b) for a, z in self._stretches for b in marks.read(f"{a}_{z}")["batch"])
+        kept = Folder(self.path)
+        if "order" in kept.names():
+            head = kept.read("order")
+            self.parts, self._order = int(head["parts"][0]), spark.sparkContext.broadcast(np.array(head["order"]))
+            self._clear()
+
+    def _clear(self) -> None:
+        """Removes what a call that failed has left of batches that aren't done."""
+        last = self.done[-1] if self.done else -(2**62)
+        for k in range(self.parts):
+            part = Folder(f"{self.path}/part-{k:05d}")
+            part.remove([n for n in part.names() if n.startswith(("run-", "pend-")) and int(n.replace("_", "-").split("-")[-1]) > last])
+        for name in Folder(f"{self.path}/killed").names():
+            if "=" in name and int(name.partition("=")[2]) > last:
+                remove_dir(self.spark, f"{self.path}/killed/{name}")
+
+    def _start(self, items: DataFrame) -> None:
+        """The order of words, from the first batch: all that is known then. Any fixed order is exact, rare words first make fewer positives."""
+        order = word_order(items)
+        Folder(self.path).write("order", {"order": order, "parts": np.array([self.parts])})
+        self._order = self.spark.sparkContext.broadcast(order)
+
+    def killed(self, batch: int | None = None) -> DataFrame:
+        """id, parts, by_store of the items that repeat an accepted one: of one batch, or of all with their batch."""
+        at, both = f"{self.path}/killed", KILLED + ", batch bigint"
+        if batch is not None:
+            at += f"/upto={next(b for _, b in self._stretches if batch <= b)}"
+        told = self.spark.read.schema(both).parquet(at) if self.done else self.spark.createDataFrame([], both)
+        return told if batch is None else told.where(F.col("batch") == batch)
+
+    def _routed(self, items: DataFrame) -> DataFrame:
+        order, n_parts = self._order, self.parts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from _to_parts(b, order.value, n_parts)
+
+        return items.select("id", "grp", "micros", "addr", "tset", "words").mapInArrow(run, ROUTED)
+
+    def add(self, batch: int, items: DataFrame, n: int | None = None) -> DataFrame:
+        """Checks a batch that comes after all earlier ones and gives id, parts, by_store of its items that repeat an accepted article, earlier or of the batch.
+
+        batch: its number, larger than those before; items: what items_of gives; n: how many they are at most, counted if not given. One query reads the batch and, of
+        the store, the filters and what they let pass. A batch that is already in the store isn't taken again: its result is read.
+        """
+        self.add_all([(batch, items.count() if n is None else n)], items.withColumn("batch", F.lit(batch).cast("bigint")))
+        return self.killed(batch)
+
+    def add_all(self, batches: list[tuple[int, int]], items: DataFrame) -> None:
+        """Takes several batches (number, items at most) in order, by the items' column batch, which should be one that folders are partitioned by.
+
+        A stretch of small batches is one query of one task, which takes one batch after the other; a larger batch is a query of its own with a task for each part.
+        """
+        batches = [b for b in batches if b[0] not in self.done]
+        if batches and self.done and batches[0][0] < self.done[-1]:
+            raise ValueError(f"batch {batches[0][0]} comes after batch {self.done[-1]}")
+        columns = ["id", "grp", "micros", "addr", "tset", "words"]
+        while batches:
+            stretch, held = [batches[0]], batches[0][1]
+            while len(stretch) < len(batches) and held + batches[len(stretch)][1] <= SMALL:
+                held += batches[len(stretch)][1]
+                stretch.append(batches[len(stretch)])
+            batches = batches[len(stretch) :]
+            first, last = stretch[0][0], stretch[-1][0]
+            own = items.where(F.col("batch").between(first, last))
+            if self._order is None:
+                self._start(items.where(F.col("batch") == first))
+            previous = self.done[-1] if self.done else None
+            gone = None if previous is None else self.killed(previous).select("id", "parts")
+            if max(held, 0 if gone is None else gone.count()) <= SMALL:
+                self._in_one_task([b for b, _ in stretch], own.select("batch", *columns), gone, previous)
             else:
-                self._order = np.frombuffer(kept.first()[0], np.int64)
-        return self._order
+                self._by_parts(last, own.select(*columns), gone, previous)
+            self.done += [b for b, _ in stretch]
+            self._grown += held
+            if self._grown > COMPACT * self._merged + SMALL:
+                self._compact(last + 1)
 
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def _in_one_task(self, batches: list[int], items: DataFrame, gone: DataFrame | None, previous: int | None) -> None:
+        path, order, n_parts = self.path, self._order, self.parts
+        schema = pa.schema([(f, pa.int64()) for f in ("batch", "id", "grp", "micros", "addr", "tset")] + [("words", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
+        both = items.withColumn("parts", F.lit(None).cast("array<int>")) if gone is None else items.unionByName(gone, allowMissingColumns=True)
 
-    def _printed(self, items: DataFrame, order: np.ndarray) -> DataFrame:
-        shared = self.spark.sparkContext.broadcast(order)
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _day_by_day(path, pa.Table.from_batches(rows, schema), batches, previous, order.value, n_parts)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                prints = []
-                for words, group, addr, tset in zip(*(b.column(k) for k in (5, 1, 3, 4))):
-                    own = fingerprints(words.values.to_numpy(zero_copy_only=False), group.as_py(), shared.value) if words.is_valid else np.empty(0, np.int64)
-                    prints.append(own)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.list_(pa.int64()))], names=[*b.schema.names, "prints"])
+        told = both.coalesce(1).mapInArrow(run, KILLED + ", batch bigint")
+        told.write.mode("overwrite").parquet(f"{path}/killed/upto={batches[-1]}")
+        self._mark(batches)
 
-        return items.select("id", "grp", "micros", "addr", "tset", "words").mapInArrow(run, ITEM + ", prints array<bigint>")
+    def _by_parts(self, batch: int, items: DataFrame, gone: DataFrame | None, previous: int | None) -> None:
+        path = self.path
 
-    def _screen(self, keys: DataFrame, filters: DataFrame) -> DataFrame:
-        """Keys that the Bloom filters of their partition let pass; each task holds one partition's filters."""
+        def step(key: tuple, table: pa.Table) -> pa.Table:
+            return _step(f"{path}/part-{key[0].as_py():05d}", table, batch, previous)
 
-        def test(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            prints = left.column("print").to_numpy()
-            found = np.zeros(len(prints), bool)
-            for raw in right.column("bits"):
-                found |= bloom.contains(np.frombuffer(raw.as_py(), np.uint8), prints)
-            return left.filter(pa.array(found))
+        rows = self._routed(items)
+        if gone is not None:
+            rows = rows.unionByName(gone.select(F.explode("parts").alias("part"), "id"), allowMissingColumns=True)
+        conflicts = materialise(rows.groupBy("part").applyInArrow(step, CONFLICT), "conflicts", f"{path}/conflicts")
+        told = conflicts.repartition(1).mapInArrow(resolve_in_task, KILLED) if conflicts.count() <= ONE_TASK else self._by_rounds(conflicts)
+        told.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{path}/killed/upto={batch}")
+        self._mark([batch])
 
-        part = F.pmod("print", F.lit(self.parts)).cast("int")
-        return keys.withColumn("part", part).groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(test, "print bigint, id bigint, whole boolean, part int")
+    def _mark(self, batches: list[int]) -> None:
+        self._stretches.append((batches[0], batches[-1]))
+        Folder(f"{self.path}/done").write(f"{batches[0]}_{batches[-1]}", {"batch": np.array(batches)})
 
-    def _filters(self, keys: DataFrame) -> DataFrame:
-        def make(key: tuple, table: pa.Table) -> pa.Table:
-            prints = table.column("print").to_numpy()
-            bits = bloom.build(prints, bloom.size_for(len(prints)))
-            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+    def _compact(self, first: int) -> None:
+        path = self.path
 
-        return keys.select("print", F.pmod("print", F.lit(self.parts)).cast("int").alias("part")).distinct().groupBy("part").applyInArrow(make, "part int, bits binary")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    part = Part(f"{path}/part-{k:05d}", first, sealing=False)  # the repeats among what is pending come with the next batch
+                    part.compact()
+                    part.publish()
+                yield b
+
+        self.spark.range(0, self.parts, 1, self.parts).mapInArrow(run, "id bigint").count()
+        self._merged += self._grown
+        self._grown = 0
+
+    def _by_rounds(self, rows: DataFrame) -> DataFrame:
+        hit = rows.where(F.col("kind") == HIT).select("id").distinct()
+        rest = rows.where(F.col("kind") != HIT).join(hit, "id", "left_anti").select((F.col("kind") == SHARES).alias("kind"), "key", "id", "micros")
+        rest = rest.where("kind").unionByName(rest.where("not kind").join(hit.withColumnRenamed("id", "key"), "key", "left_anti").select("kind", "key", "id", "micros"))
+        killed = hit.withColumn("by_store", F.lit(True)).unionByName(resolve_in_rounds(rest).distinct().withColumn("by_store", F.lit(False)))
+        parts = rows.groupBy("id").agg(F.first("parts").alias("parts"))
+        return killed.join(parts, "id").select("id", "parts", "by_store")
+
+
+ROUTED = "part int, id bigint, micros bigint, prints array<bigint>, words array<bigint>, keys array<bigint>, parts array<int>"
+
+
+def _to_parts(b: pa.RecordBatch, order: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each item and part that a fingerprint or key of it belongs to. words only where there are fingerprints; parts are all parts of the item."""
+    ids, group, micros = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+    words = b.column(5).flatten().to_numpy(zero_copy_only=False)
+    offset = np.concatenate([[0], np.cumsum(b.column(5).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    item, word, prints = fingerprints(offset, words, group, order)
+    keys, owner = [], []
+    for k in (3, 4):
+        valid = b.column(k).is_valid().to_numpy(zero_copy_only=False)
+        keys.append(b.column(k).fill_null(0).to_numpy(zero_copy_only=False)[valid])
+        owner.append(np.flatnonzero(valid))
+    keys, owner = np.concatenate(keys), np.concatenate(owner)
+    part = np.concatenate([(word % np.uint64(n_parts)).astype(np.int64), keys % n_parts])
+    item, value, whole = np.concatenate([item, owner]), np.concatenate([prints, keys]), np.concatenate([np.zeros(len(prints), bool), np.ones(len(keys), bool)])
+    if not len(part):
+        return
+    by = np.lexsort((value, whole, part, item))
+    part, item, value, whole = part[by], item[by], value[by], whole[by]
+    again = np.concatenate([[False], (part[1:] == part[:-1]) & (item[1:] == item[:-1]) & (value[1:] == value[:-1])])
+    part, item, value, whole = part[~again], item[~again], value[~again], whole[~again]
+    begins = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (item[1:] != item[:-1])]))
+    n_whole = np.add.reduceat(whole.astype(np.int64), begins)
+    n_print = np.diff(np.concatenate([begins, [len(part)]])) - n_whole
+    of, to = item[begins], part[begins]
+    size = np.where(n_print > 0, np.diff(offset)[of], 0)
+    firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    per_item = np.diff(np.concatenate([firsts, [len(of)]]))
+    n_parts_of = np.repeat(per_item, per_item)
+
+    def ragged_list(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
+
+    yield pa.RecordBatch.from_arrays([
+        pa.array(to.astype(np.int32)), pa.array(ids[of]), pa.array(micros[of]), ragged_list(value[~whole], n_print), ragged_list(words[ragged(offset[of], size)], size),
+        ragged_list(value[whole], n_whole), ragged_list(to[ragged(np.repeat(firsts, per_item), n_parts_of)].astype(np.int32), n_parts_of),
+    ], names=["part", "id", "micros", "prints", "words", "keys", "parts"])
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _step(uri: str, table: pa.Table, batch: int, previous: int | None) -> pa.Table:
+    """One part's share of a batch and of the repeats of the one before, which have no instant."""
+    fresh = table.column("micros").is_valid()
+    part = Part(uri, batch, previous, table.filter(pc.invert(fresh)).column("id").to_numpy())
+    out = _share(part, table.filter(fresh), batch)
+    part.publish()
+    return out
+
+
+def _share(part: Part, rows: pa.Table, batch: int) -> pa.Table:
+    """Screens, looks up, verifies, finds what is linked within the batch, and leaves the rest pending."""
+    ids, micros = rows.column("id").to_numpy(), rows.column("micros").to_numpy()
+    out: list = []
+
+    def say(kind: int, key: np.ndarray, at: np.ndarray) -> None:
+        if len(at):
+            own = rows.column("parts").take(pa.array(at)).combine_chunks()
+            out.append(pa.table({"kind": pa.array(np.full(len(at), kind, np.int32)), "key": pa.array(key), "id": pa.array(ids[at]), "micros": pa.array(micros[at]), "parts": own}))
+
+    if rows.num_rows:
+        prints, n_print = _lists(rows.column("prints"))
+        words, n_words = _lists(rows.column("words"))
+        keys, n_key = _lists(rows.column("keys"))
+        item, owner = np.repeat(np.arange(len(ids)), n_print), np.repeat(np.arange(len(ids)), n_key)
+        sets = Sets(ids, np.concatenate([[0], np.cumsum(n_words)]), words)
+        hit_item, hit_owner = part.hits(prints, item, sets, keys, owner)
+        hit = np.zeros(len(ids), bool)
+        hit[hit_item] = hit[hit_owner] = True
+        say(HIT, np.zeros(int(hit.sum()), np.int64), np.flatnonzero(hit))
+        open_print, open_key = ~hit[item], ~hit[owner]
+        prints, item, keys, owner = prints[open_print], item[open_print], keys[open_key], owner[open_key]
+        earlier, later = links_within(prints, item, micros, sets)
+        say(LINK, ids[earlier], later)
+        # the earlier item of a link is one to be decided too, under a key of its own
+        first = np.unique(earlier)
+        say(SHARES, ids[first] ^ np.int64(-(2**63)), first)
+        by = np.argsort(keys, kind="stable")
+        same = keys[by][1:] == keys[by][:-1]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(keys) else np.empty(0, bool)
+        say(SHARES, keys[by][several], owner[by][several])
+        held = np.flatnonzero(~hit)
+        place = np.cumsum(~hit) - 1
+        kept = Sets(ids[held], np.concatenate([[0], np.cumsum(n_words[held])]), words[np.repeat(~hit, n_words)])
+        part.keep(batch, prints, place[item], kept, keys, ids[owner])
+    if not out:
+        return pa.table({"kind": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "micros": pa.array([], pa.int64()), "parts": pa.array([], pa.list_(pa.int32()))})
+    return pa.concat_tables([t.cast(out[0].schema) for t in out])
+
+
+def _day_by_day(path: str, table: pa.Table, batches: list[int], previous: int | None, order: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """The batches of a stretch one after the other, each through the filters, the store, its own order of acceptance, and into the parts. Rows without instant are the repeats of the batch before."""
+    is_item = table.column("micros").is_valid()
+    gone, items = table.filter(pc.invert(is_item)).select(["id", "parts"]), table.filter(is_item)
+    killed, at = gone.column("id").to_numpy(), np.empty(0, np.int32)
+    if gone.num_rows:
+        at, n = _lists(gone.column("parts"))
+        killed = np.repeat(killed, n)
+    parts: dict[int, Part] = {}
+
+    def opened(k: int) -> Part:
+        if k not in parts:
+            parts[k] = Part(f"{path}/part-{k:05d}", batches[0], previous, killed[at == k])
+        return parts[k]
+
+    for k in np.unique(at).tolist():
+        opened(k)
+    number = items.column("batch").to_numpy()
+    for batch in batches:
+        rows = items.filter(pa.array(number == batch)).select(["id", "grp", "micros", "addr", "tset", "words"]).combine_chunks()
+        conflicts = []
+        for routed in [x for b in rows.to_batches() for x in _to_parts(b, order, n_parts)]:
+            to, own = routed.column(0).to_numpy(), pa.Table.from_batches([routed])
+            for k in np.unique(to).tolist():
+                conflicts += _share(opened(k), own.filter(pa.array(to == k)), batch).to_batches()
+        for told in resolve_in_task(iter(conflicts)):
+            ids = told.column(0).to_numpy()
+            for part in parts.values():
+                if batch != batches[-1]:
+                    part.seal(ids)
+            yield pa.RecordBatch.from_arrays([*told.columns, pa.array(np.full(len(ids), batch))], names=[*told.schema.names, "batch"])
+    for part in parts.values():
+        part.publish()
+
+
+def items_of(rows: DataFrame) -> DataFrame:
+    """Items of what prepare gives: rows of one batch, address and set of words are one, taken by the first of them; rows with neither are left out, as they match nothing."""
+    firsts = rows.where("addr is not null or tset is not null").groupBy("batch", "addr", "tset").agg(F.min(F.struct("micros", "id", "grp", "words")).alias("x"))
+    return firsts.select("batch", "x.id", "x.grp", "x.micros", "addr", "tset", "x.words")
+
+
+def replay(rows: DataFrame, row_id: str, company: str, url: str, title: str, cached: str, path: str, store: AcceptedStore | None = None) -> tuple[DataFrame, DataFrame, AcceptedStore]:
+    """Takes rows into a store day by day: what prepare and items_of give, with batch, both written below path, and the store, a new one below path if none is given.
+
+    A batch is one UTC day, its number the day since 1970; rows without readable instant are a batch after all others.
+    """
+    spark = rows.sparkSession
+    ready = prepare(rows, row_id, company, url, title, cached).withColumn("batch", F.floor(F.col("micros") / DAY))
+    ready = materialise(ready, "ready", f"{path}/ready")
+    # in order of batches, so that a stretch of them reads its own row groups
+    items = materialise(items_of(ready).repartitionByRange("batch", "id").sortWithinPartitions("batch"), "items", f"{path}/items")
+    days = items.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").collect()  # a row a day
+    store = store or AcceptedStore(spark, f"{path}/store", max(LEAST_PARTS, sum(r.n for r in days) // PART_ITEMS))
+    store.add_all([(int(r.batch), r.n) for r in days], items)
+    return ready, items, store
 
-    def add(self, batch: DataFrame, all_rows: DataFrame | None = None) -> DataFrame:
-        """Checks a batch that comes after all earlier ones, appends what it accepts, and returns the ids of its accepted rows.
 
-        batch: what prepare gives, written. Rows of one address and one set of words are one item, taken by its first row. all_rows
-        orders the words of a new store.
-        """
-        order = self.order(all_rows if all_rows is not None else batch)
-        bare = batch.where("addr is null and tset is null").select("id")
-        firsts = batch.where("addr is not null or tset is not null").groupBy("addr", "tset").agg(F.min(F.struct("micros", "id", "grp", "words")).alias("x"))
-        items = firsts.select("x.id", "x.grp", "x.micros", "addr", "tset", "x.words")
-        items = materialise(self._printed(items, order), "items")
-        out = bare
-        for accepted in self._take(items):
-            out = out.union(accepted.select("id"))
-        return out
-
-    def _take(self, items: DataFrame) -> list[DataFrame]:
-        """The accepted of items, which are appended to the store. Items that share so many fingerprints among themselves that their pairs would outgrow
-        the batch are taken in two halves, earlier first: what the first half leaves in the store then answers for the second."""
-        keys = items.select("id", F.explode("prints").alias("print"), F.lit(False).alias("whole")).union(
-            items.select("id", F.explode(F.array_compact(F.array("addr", "tset"))), F.lit(True))).select("print", "id", "whole")
-        before = self.table("items")
-        left = items
-        if before is not None:
-            positive = self._screen(keys, self.table("filters"))
-            met = positive.join(self.table("prints").withColumnRenamed("id", "accepted"), "print")
-            met = materialise(met.select("id", "accepted", "whole").distinct(), "met")
-            alike = self._verified(met.where("not whole").select("id", "accepted"), items, before)
-            repeats = met.where("whole").select("id").union(alike.select("id")).distinct()
-            left = materialise(items.join(repeats, "id", "left_anti"), "left")
-        size = left.select(F.explode("prints").alias("print")).groupBy("print").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        pairs = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        if pairs > PAIRS:
-            middle = left.agg(F.percentile_approx("micros", 0.5, 10_000)).first()[0]
-            first, rest = left.where(F.col("micros") < middle), left.where(F.col("micros") >= middle)
-            if first.limit(1).count():
-                return self._take(first) + self._take(materialise(rest, "rest"))
-            same, rest = left.where(F.col("micros") == middle), left.where(F.col("micros") > middle)
-            if rest.limit(1).count():
-                return self._take(same) + self._take(materialise(rest, "rest"))
-            middle = left.agg(F.percentile_approx("id", 0.5, 10_000)).first()[0]
-            first, rest = left.where(F.col("id") <= middle), left.where(F.col("id") > middle)
-            if rest.limit(1).count():
-                return self._take(first) + self._take(materialise(rest, "rest"))
-        killed = self._within(left)
-        accepted = materialise(left.join(killed, "id", "left_anti"), "taken")
-        self._append(accepted.drop("prints"), "items")
-        prints = materialise(accepted.select(F.explode(F.concat("prints", F.array_compact(F.array("addr", "tset")))).alias("print"), "id"), "prints")
-        self._append(prints, "prints")
-        self._append(self._filters(prints), "filters")
-        return [accepted]
-
-    def _verified(self, pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-        """Of pairs (id, accepted), those whose sets have 0.8 of their union in common."""
-        x = a.where("tset is not null").select("id", F.col("words").alias("wa"))
-        y = b.where("tset is not null").select(F.col("id").alias("accepted"), F.col("words").alias("wb"))
-        both = pairs.join(x, "id").join(y, "accepted").withColumn("common", F.size(F.array_intersect("wa", "wb")))
-        return both.where(F.col("common") * 9 >= (F.size("wa") + F.size("wb")) * 4).select("id", "accepted")
-
-    def _within(self, items: DataFrame) -> DataFrame:
-        """Ids of the items that repeat an accepted one of their own batch."""
-        groups = items.select("id", "micros", F.explode(F.array_compact(F.array("addr", "tset"))).alias("key"))
-        several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        members = groups.join(several, "key", "left_semi").select(F.lit(True).alias("kind"), "key", "id", "micros")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        by_print = items.select("id", "micros", "tset", F.explode("prints").alias("print")).repartition(parts, "print")
-        joined = by_print.alias("a").join(by_print.alias("b"), F.expr("a.print = b.print and a.tset <> b.tset and (a.micros < b.micros or a.micros = b.micros and a.id < b.id)"))
-        pairs = joined.select(F.col("b.id").alias("id"), F.col("a.id").alias("accepted"), F.col("b.micros").alias("micros")).distinct()
-        links = self._verified(pairs.select("id", "accepted"), items, items).join(items.select("id", "micros"), "id")
-        links = links.select(F.lit(False).alias("kind"), F.col("accepted").alias("key"), "id", "micros")
-        # earlier items of a link are items too, even if they have no group
-        sources = links.select("key").distinct().join(items.select(F.col("id").alias("key"), "micros"), "key").select(F.lit(True).alias("kind"), "key", F.col("key").alias("id"), "micros")
-        conflicts = materialise(members.union(links).union(sources), "conflicts")
-        if conflicts.count() <= ONE_TASK:
-            return conflicts.repartition(1).mapInArrow(resolve_in_task, "id bigint")
-        return resolve_in_rounds(conflicts)
-
-
-def repeats(rows: DataFrame, row_id: str, company: str, url: str, title: str, cached: str, shares: tuple[float, ...] = (0.1, 0.4), store: AcceptedStore | None = None) -> DataFrame:
+def repeats(rows: DataFrame, row_id: str, company: str, url: str, title: str, cached: str, store: AcceptedStore | None = None) -> DataFrame:
     """row_id of every row that repeats an accepted earlier one of its company, by address or by an alike headline.
 
-    Rows come in order of instant, then id, in batches of whole UTC days: one batch for each stretch of history between the given shares of rows. How days
-    are put together changes nothing in the result, as each row is checked against all accepted before it. Null and blank addresses, headlines
-    without words match nothing; a row with neither is always accepted. An empty table gives none.
+    Rows come in order of instant, then id, a batch for each UTC day. Null and blank addresses, headlines
+    without words match nothing; a row with neither is always accepted. Of rows with one id, those of one day are one row. An empty table gives none.
     """
     spark = rows.sparkSession
-    store = store or AcceptedStore(spark)
-    ready = materialise(prepare(rows, row_id, company, url, title, cached), "ready")
-    day = F.floor(F.col("micros") / 86_400_000_000)
-    cuts = ready.where(F.col("micros") < LAST).agg(F.percentile_approx(day, list(shares), 10_000)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
-    accepted: DataFrame | None = None
-    for lo, hi in zip(edges, edges[1:]):
-        part = ready
-        part = part if lo is None else part.where(day > lo)
-        part = part if hi is None else part.where(day <= hi)
-        if not part.limit(1).count():
-            continue
-        own = store.add(part, ready)
-        accepted = own if accepted is None else accepted.union(own)
-    found = ready.select("id") if accepted is None else ready.select("id").join(accepted, "id", "left_anti")
+    path = shared_dir(spark, "replay")
+    ready, items, kept = replay(rows, row_id, company, url, title, cached, path, store)
+    bare = ready.where("addr is null and tset is null").select("batch", "id")
+    accepted = bare
+    if kept.done:
+        accepted = items.select("batch", "id").join(kept.killed().select("batch", "id"), ["batch", "id"], "left_anti").unionByName(bare)
+    found = materialise(ready.select("batch", "id").join(accepted, ["batch", "id"], "left_anti").select("id"), "repeats")
+    remove_dir(spark, path)
     return found.withColumnRenamed("id", row_id)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     news = spark.read.parquet(f"{sf_dir}/news_cache.parquet").select("id", "company_symbol", "article_url", "article_title", "cached_date")
     return repeats(news, "id", "company_symbol", "article_url", "article_title", "cached_date").select(F.col("id").cast("int").alias("id"))
+
+
+def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each batch: its rows, its items, and how many of them the store told as repeats, and how many an item of the batch itself."""
+    news = spark.read.parquet(f"{sf_dir}/news_cache.parquet").select("id", "company_symbol", "article_url", "article_title", "cached_date")
+    path = shared_dir(spark, "replay")
+    ready, items, store = replay(news, "id", "company_symbol", "article_url", "article_title", "cached_date", path)
+    n_rows = ready.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"))
+    n_items = items.groupBy("batch").agg(F.count(F.lit(1)).alias("n_items"))
+    told = store.killed().groupBy("batch").agg(F.count_if("by_store").alias("by_store"), F.count_if(~F.col("by_store")).alias("within"))
+    out = materialise(n_rows.join(n_items, "batch", "left").join(told, "batch", "left").na.fill(0), "batches")
+    remove_dir(spark, path)
+    return out

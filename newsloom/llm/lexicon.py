@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from newsloom.llm.flat import pack, view
+
 
 def build(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     """Arrays of the automaton of words, each with its ids. An empty dictionary gives an automaton that knows no word."""
@@ -59,36 +61,19 @@ def build(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
         below[state] = n
         begin.append(len(label))
     ids = [words[w] for w in ordered]
+    states = np.repeat(np.arange(len(begin) - 1, dtype=np.int64), np.diff(begin))
     return {
-        "begin": np.array(begin, np.int32), "label": np.array(label, np.uint8), "target": np.array(target, np.int32), "skip": np.array(skip, np.int32),
+        "begin": np.array(begin, np.int32), "key": states * 256 + np.array(label, np.int64), "target": np.array(target, np.int32), "skip": np.array(skip, np.int32),
         "final": np.array(final, np.uint8), "root": np.array([root], np.int32),
         "offset": np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), "ids": np.array([i for x in ids for i in x], np.int32),
     }
 
 
-def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """One block: a line that says where each array lies, then the arrays, each at a multiple of 8 bytes."""
-    at, parts, head = 0, [], []
-    for name, a in arrays.items():
-        raw = a.tobytes()
-        head.append(f"{name}:{a.dtype.str}:{at}:{len(a)}")
-        raw += b"\0" * (-len(raw) % 8)
-        parts.append(raw)
-        at += len(raw)
-    line = ",".join(head).encode()
-    line += b" " * (-(len(line) + 1) % 8) + b"\n"
-    return line + b"".join(parts)
-
-
 class Lexicon:
     """Reads a packed automaton; with a path, its pages are mapped from the file and shared by all workers of a machine."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.uint8, "r")
-        end = int(np.argmax(data[:4096] == 10)) + 1
-        for item in bytes(data[:end]).decode().strip().split(","):
-            name, kind, at, n = item.split(":")
-            a = data[end + int(at) : end + int(at) + int(n) * np.dtype(kind).itemsize].view(kind)
+        for name, a in view(np.memmap(path, np.uint8, "r")).items():
             setattr(self, name, a)
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -102,7 +87,7 @@ class Lexicon:
         state = np.full(n, self.root[0], np.int64)
         place = np.zeros(n, np.int64)
         live = np.arange(n)
-        keys = self._keys()
+        keys = self.key
         for k in range(int(length.max())):
             live = live[length[live] > k]
             if not len(live):
@@ -117,8 +102,5 @@ class Lexicon:
         ok = (state >= 0) & (self.final[np.maximum(state, 0)] == 1) if len(self.final) else np.zeros(n, bool)
         return np.where(ok, place, -1)
 
-    def _keys(self) -> np.ndarray:
-        if not hasattr(self, "_key"):
-            states = np.repeat(np.arange(len(self.begin) - 1, dtype=np.int64), np.diff(self.begin))
-            self._key = states * 256 + self.label
-        return self._key
+
+__all__ = ["Lexicon", "build", "pack"]

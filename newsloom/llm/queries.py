@@ -6,6 +6,7 @@ from newsloom.llm import encode, history, lookalike, neardup, packing, splitting
 
 QUERIES: dict = {
     "p1_found": history.p1_found,
+    "p1_batches": history.p1_batches,
     "p3_found": topn.p3_found,
     "p4_found": neardup.p4_found,
     "p4_groups": neardup.p4_groups,

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from newsloom.functions.timestamps import parse_instant
-from newsloom.llm import bloom, history as h
+from newsloom.llm import bloom, history as h, prints
 
 SCHEMA = "id int, company_symbol string, article_url string, article_title string, cached_date string"
 
@@ -35,9 +35,9 @@ def test_alike_sets_share_a_fingerprint(words, data):
     b = sorted(set(a[drop:]) | {2**62 + k + 1 for k in range(add)})
     common = len(set(a) & set(b))
     if 9 * common >= 4 * (len(a) + len(b)) and a != b:
-        x, y = (h.fingerprints(np.array(s, np.int64), 7, order) for s in (a, b))
-        assert np.intersect1d(x, y).size
-        assert not np.intersect1d(x, h.fingerprints(np.array(b, np.int64), 8, order)).size
+        of = lambda s, g: set(h.fingerprints(np.array([0, len(s)]), np.array(s, np.int64), np.array([g]), order)[2].tolist())
+        assert of(a, 7) & of(b, 7)
+        assert not of(a, 7) & of(b, 8)
 
 
 def brute(rows):
@@ -77,33 +77,87 @@ def made(seed, n=400):
     return rows
 
 
-@pytest.mark.parametrize(("one_task", "pairs", "n"), [(1_000_000, 10**8, 400), (0, 10**8, 400), (1_000_000, 60, 150)])
-def test_against_brute_force(spark, monkeypatch, one_task, pairs, n):
-    monkeypatch.setattr(h, "ONE_TASK", one_task)
-    monkeypatch.setattr(h, "PAIRS", pairs)
-    rows = made(11 + one_task, n)
-    got = {r.id for r in h.repeats(spark.createDataFrame(rows, SCHEMA), "id", "company_symbol", "article_url", "article_title", "cached_date").collect()}
+COLUMNS = ("id", "company_symbol", "article_url", "article_title", "cached_date")
+
+
+@pytest.mark.parametrize(("small", "one_task"), [(50_000, 1), (60, 1), (-1, 1), (-1, 0)])
+def test_against_brute_force(spark, monkeypatch, small, one_task):
+    if not one_task:
+        monkeypatch.setattr(h, "ONE_TASK", 0)
+    monkeypatch.setattr(h, "SMALL", small)
+    rows = made(11 + small, 400 if one_task else 250)
+    asked = []
+    real = h.AcceptedStore.add_all
+    monkeypatch.setattr(h.AcceptedStore, "add_all", lambda self, batches, items: asked.extend(b for b, _ in batches) or real(self, batches, items))
+    got = {r.id for r in h.repeats(spark.createDataFrame(rows, SCHEMA), *COLUMNS).collect()}
     assert got == brute(rows)
+    days = {(h.LAST if (t := parse_instant(r[4], "Asia/Kolkata")) is None else t) // h.DAY for r in rows if h.address_key(r[2]) or r[3] and h.find_words(r[3].lower())}
+    assert asked == sorted(days)  # a batch is one UTC day
 
 
 def test_store_takes_later_batches(spark):
     rows = [r for r in made(5, 240) if r[4]]
-    rows.sort(key=lambda r: parse_instant(r[4], "Asia/Kolkata"))
-    store = h.AcceptedStore(spark)
+    day = lambda r: parse_instant(r[4], "Asia/Kolkata") // h.DAY
+    days = sorted({day(r) for r in rows})
+    path = h.shared_dir(spark, "store")
     found = set()
-    for part in (rows[:80], rows[80:160], rows[160:]):
-        # whole days stay together
-        found |= {r.id for r in h.repeats(spark.createDataFrame(part, SCHEMA), "id", "company_symbol", "article_url", "article_title", "cached_date", shares=(), store=store).collect()}
-    want = brute(rows)
-    assert len(found ^ want) <= 2  # only ids of one instant that the cut tore apart may differ
-    assert store.table("items").count() > 0
+    for some in (days[:3], days[3:6], days[6:]):
+        # a new store object each time: what it knows comes from its folder
+        part = [r for r in rows if day(r) in some]
+        found |= {r.id for r in h.repeats(spark.createDataFrame(part, SCHEMA), *COLUMNS, store=h.AcceptedStore(spark, path)).collect()}
+    assert found == brute(rows)
+    store = h.AcceptedStore(spark, path)
+    assert store.done == days
+    items = spark.createDataFrame([], h.ITEM)
+    assert {r.id for r in store.add(days[-1], items).collect()} == {r.id for r in store.killed(days[-1]).collect()}  # done already: not taken again
+    with pytest.raises(ValueError):
+        store.add(days[0] - 1, items)
+
+
+def one_day(store, batch, titles, first_id, order, previous=None):
+    """A batch of one part without Spark: the ids that the store knows as repeats, and the rows looked up."""
+    ids = np.arange(first_id, first_id + len(titles))
+    sets = [np.sort(h.WordHashes().of(t.split()).view(np.int64)) for t in titles]
+    offset, words = np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)
+    item, _, value = h.fingerprints(offset, words, np.zeros(len(sets), np.int64), order)
+    part = prints.Part(store, batch, previous)
+    own = prints.Sets(ids, offset, words)
+    none = np.empty(0, np.int64)
+    hit, _ = part.hits(value, item, own, none, none)
+    part.keep(batch, value, item, own, none, none)
+    part.publish()
+    return set(ids[hit].tolist()), part.rows_read, len(part.runs)
+
+
+def test_history_is_not_read_again(tmp_path):
+    store, order = f"file://{tmp_path}/part", np.zeros(1 << h.ORDER_BITS, np.int64)
+    read, runs = [], []
+    for d in range(60):
+        titles = [f"w{d}a{k} w{d}b{k} w{d}c{k} w{d}d{k} w{d}e{k} w{d}f{k}" for k in range(40)]
+        if d:
+            titles[:5] = [f"w{d - 1}a{k} w{d - 1}b{k} w{d - 1}c{k} w{d - 1}d{k} w{d - 1}e{k} w{d - 1}f{k}" for k in range(10, 15)]
+        hit, n, r = one_day(store, d, titles, 1000 * d, order, d - 1 if d else None)
+        assert hit == (set(range(1000 * d, 1000 * d + 5)) if d else set())
+        read.append(n)
+        runs.append(r)
+    assert max(read[30:]) <= 2 * max(read[2:10])  # rows looked up follow the repeats, not the history
+    assert max(runs) <= 8
+
+
+def test_a_task_may_be_repeated(tmp_path):
+    store, order = f"file://{tmp_path}/part", np.zeros(1 << h.ORDER_BITS, np.int64)
+    titles = [[f"x{d}{k} y{d}{k} z{d}{k} v{d}{k} u{d}{k}" for k in range(20)] for d in range(4)]
+    titles[3][0], titles[3][1] = titles[0][5], titles[2][7]
+    for d in range(4):
+        first, again = (one_day(store, d, titles[d], 100 * d, order, d - 1 if d else None)[0] for _ in range(2))
+        assert first == again == ({300, 301} if d == 3 else set())
 
 
 def test_one_hot_address_and_empty(spark):
     rows = [(i, "A", "https://a.example/x", f"title number {i} of its own kind {i * 7}", f"2025-01-01T00:{i % 60:02d}:00Z") for i in range(500)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert h.repeats(df, "id", "company_symbol", "article_url", "article_title", "cached_date").count() == 499
-    assert h.repeats(df.limit(0), "id", "company_symbol", "article_url", "article_title", "cached_date").count() == 0
+    assert h.repeats(df, *COLUMNS).count() == 499
+    assert h.repeats(df.limit(0), *COLUMNS).count() == 0
 
 
 def test_bloom(spark):
