@@ -63,6 +63,11 @@ def relevance() -> Column:
     return F.when(strip(text) == "", 0.0).otherwise(F.least(F.lit(1.0), F.greatest(score, floor)))
 
 
+def boosted(score: Column, text: Column, terms: Column, by: float = 0.25) -> Column:
+    """The score, raised where one of the search terms is a substring of the lower-cased text; at most 1."""
+    return F.when(F.exists(terms, lambda t: F.contains(text, F.lower(t))), F.least(F.lit(1.0), score + by)).otherwise(score)
+
+
 def company_name_score() -> Column:
     """1 for the whole name, 0.8 without suffix, else 0.5 for the first two words and up to 0.3 for the share of its significant words; at most 1."""
     text, words = F.col("_text"), F.col("_words")
@@ -97,10 +102,13 @@ def weighted_relevance() -> Column:
     return F.when((F.col("_whole") == "") | (strip(F.col("_text")) == ""), 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
-def identifiers_found(text: Column, ticker: Column, name: Column) -> Column:
-    """Tagged identifiers that occur in the lower-cased text: symbol:X, company:Y."""
-    found = F.array(F.when(has(text, F.lower(ticker)), F.concat(F.lit("symbol:"), ticker)), F.when(has(text, F.lower(name)), F.concat(F.lit("company:"), name)))
-    return F.array_compact(found)
+def identifiers_found(text: Column, ticker: Column, name: Column, terms: Column | None = None) -> Column:
+    """Tagged identifiers that occur in the lower-cased text: symbol:X, company:Y, and search_term:Z for each of terms in their order."""
+    found = F.array_compact(F.array(F.when(has(text, F.lower(ticker)), F.concat(F.lit("symbol:"), ticker)), F.when(has(text, F.lower(name)), F.concat(F.lit("company:"), name))))
+    if terms is None:
+        return found
+    hit = F.filter(terms, lambda t: has(text, F.lower(t)))
+    return F.concat(found, F.transform(hit, lambda t: F.concat(F.lit("search_term:"), t)))
 
 
 def matched_terms(text: Column, terms: Column) -> Column:

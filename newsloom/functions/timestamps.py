@@ -59,7 +59,7 @@ def parse_instant(raw: str | None, zone: str | None = "UTC", day_first: bool | N
     if raw is None:
         return None
     text = raw.strip()
-    if not text or len(text) > 100:
+    if not text:
         return None
     if text.isascii() and text[:9].isdigit() and (m := _EPOCH.fullmatch(text)):
         count = m["n"]

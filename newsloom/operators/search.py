@@ -71,7 +71,8 @@ def similar(companies: DataFrame, symbols: DataFrame, limit: int = 5) -> DataFra
 
 
 def of_series(companies: DataFrame, limit: int = 100) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("series").orderBy("symbol"))
+    """series, rank and company: the first limit companies of each series by name; companies without series are left out."""
+    rank = F.row_number().over(W.partitionBy("series").orderBy("company_name", "symbol"))
     return companies.where("series is not null").withColumn("rank", rank).where(F.col("rank") <= limit)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newsloom.operators import timestamps
-from newsloom.plans import company_queries, news_queries, training_queries
+from newsloom.plans import company_queries, instants, news_queries, training_queries
 
 QUERIES: dict = {"p2_found": timestamps.p2_found, **company_queries.Q, **news_queries.Q, **training_queries.Q}
-ORACLES: dict = {**company_queries.S, **news_queries.S, **training_queries.S}
+ORACLES: dict = {"p2_found": instants.P2_FOUND, **company_queries.S, **news_queries.S, **training_queries.S}

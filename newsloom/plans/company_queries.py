@@ -74,16 +74,13 @@ S["autocomplete"] = _TIERS.replace(sql_list(TYPED), sql_list(("KI", "MU", "DUM-"
 Q["highlight_term"] = lambda spark, d: companies(spark, d).select("symbol", T.highlight(F.col("company_name"), F.lit("li")).alias("highlighted"))
 S["highlight_term"] = WITH + r"SELECT symbol, regexp_replace(company_name, '(?i)(li)', '**\1**', 'g') AS highlighted FROM companies"
 
-Q["similar_companies"] = lambda spark, d: search.similar(companies(spark, d), companies(spark, d).where("length(symbol) = 8").select("symbol").orderBy("symbol").limit(20))
-S["similar_companies"] = WITH + """, own AS (SELECT symbol AS of_symbol, string_split(company_name, ' ')[1] AS first_word FROM companies WHERE length(symbol) = 8 ORDER BY symbol LIMIT 20)
+Q["similar_companies"] = lambda spark, d: search.similar(companies(spark, d), companies(spark, d).select("symbol"))
+S["similar_companies"] = WITH + """, own AS (SELECT symbol AS of_symbol, string_split(company_name, ' ')[1] AS first_word FROM companies)
 SELECT of_symbol, row_number() OVER (PARTITION BY of_symbol ORDER BY company_name, symbol) AS rank, symbol, company_name
 FROM companies, own WHERE starts_with(company_name, first_word) AND symbol <> of_symbol QUALIFY rank <= 5"""
 
-Q["similar_companies_all"] = lambda spark, d: search.similar(companies(spark, d), companies(spark, d).select("symbol"))
-S["similar_companies_all"] = S["similar_companies"].replace(" WHERE length(symbol) = 8 ORDER BY symbol LIMIT 20", "")
-
 Q["by_series"] = lambda spark, d: search.of_series(companies(spark, d)).select("series", "rank", "symbol", "company_name")
-S["by_series"] = WITH + "SELECT series, row_number() OVER (PARTITION BY series ORDER BY symbol) AS rank, symbol, company_name FROM companies WHERE series IS NOT NULL QUALIFY rank <= 100"
+S["by_series"] = WITH + "SELECT series, row_number() OVER (PARTITION BY series ORDER BY company_name, symbol) AS rank, symbol, company_name FROM companies WHERE series IS NOT NULL QUALIFY rank <= 100"
 
 Q["search_terms"] = lambda spark, d: companies(spark, d).select("symbol", F.array_join(T.search_terms(F.col("symbol"), F.col("company_name")), "|").alias("terms"))
 _CLEANED = sql_replace_suffixes("company_name")

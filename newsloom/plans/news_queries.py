@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import display, scores, text as T
 from newsloom.operators import chunks, collect, dedupe, sentiment, sessions, verdict
+from newsloom.plans.instants import EXPIRES, PUBLISHED, sql_instants
 from newsloom.plans.shared import AS_OF, COMPANIES, WS, companies, read, sql_squeeze, sql_strip, sql_without_suffix
-from newsloom.session import shared_dir, spread
+from newsloom.operators.timestamps import parse_column, with_source_zone
+from newsloom.session import materialise, shared_dir, spread
 from newsloom.sources import answers, cache, feeds
 
 WITH = f"WITH {COMPANIES} "
@@ -15,16 +17,14 @@ Q, S = {}, {}
 news = lambda spark, d: read(spark, d, "news_cache")
 
 # --- the cache ---------------------------------------------------------------------------------------------------------
-Q["cache_valid"] = lambda spark, d: cache.valid(news(spark, d), AS_OF, by_text=True).select("id", "company_symbol", "expires_date")
-S["cache_valid"] = f"SELECT id, company_symbol, expires_date FROM news_cache WHERE expires_date > '{AS_OF}'"
+Q["cache_valid"] = lambda spark, d: cache.valid(news(spark, d), AS_OF).select("id", "company_symbol", "expires_date")
+S["cache_valid"] = f"SELECT id, company_symbol, x AS expires_date FROM {sql_instants(EXPIRES)} WHERE utc_micros > epoch_us(TIMESTAMP '{AS_OF}')"
 
-Q["cache_valid_instants"] = lambda spark, d: cache.valid(news(spark, d), AS_OF).select("id", "company_symbol")
+Q["cache_purge"] = lambda spark, d: cache.purge(news(spark, d), AS_OF).select("id", "company_symbol")
+S["cache_purge"] = f"SELECT id, company_symbol FROM {sql_instants(EXPIRES)} WHERE coalesce(utc_micros >= epoch_us(TIMESTAMP '{AS_OF}'), true)"
 
-Q["cache_purge"] = lambda spark, d: cache.purge(news(spark, d), AS_OF, by_text=True).select("id", "company_symbol")
-S["cache_purge"] = f"SELECT id, company_symbol FROM news_cache WHERE coalesce(expires_date >= '{AS_OF}', true)"
-
-Q["cache_purge_count"] = lambda spark, d: news(spark, d).agg(F.count_if(F.col("expires_date") < AS_OF).alias("deleted"))
-S["cache_purge_count"] = f"SELECT count(*) FILTER (WHERE expires_date < '{AS_OF}') AS deleted FROM news_cache"
+Q["cache_purge_count"] = lambda spark, d: news(spark, d).agg(F.count_if(cache.instant(F.col("expires_date")) < F.lit(AS_OF).cast("timestamp")).alias("deleted"))
+S["cache_purge_count"] = f"SELECT count(*) FILTER (WHERE utc_micros < epoch_us(TIMESTAMP '{AS_OF}')) AS deleted FROM {sql_instants(EXPIRES)}"
 
 Q["cache_stats"] = lambda spark, d: cache.stats(news(spark, d))
 S["cache_stats"] = "SELECT count(*) AS n_articles, count(DISTINCT company_symbol) AS n_companies, count(DISTINCT source_name) AS n_sources FROM news_cache"
@@ -35,13 +35,13 @@ S["articles_by_source"] = "SELECT source_name, count(*) AS n FROM news_cache GRO
 
 def _cache_or_fetch(spark, d):
     rows = news(spark, d)
-    cached = cache.valid(rows, AS_OF, by_text=True).select("company_symbol", "article_url", F.lit(True).alias("from_cache"))
+    cached = cache.valid(rows, AS_OF).select("company_symbol", "article_url", F.lit(True).alias("from_cache"))
     fresh = rows.where("article_url is not null").select("company_symbol", "article_url", F.lit(False).alias("from_cache"))
     return cache.cached_or_fresh(cached, fresh)
 
 
 Q["cache_or_fetch"] = _cache_or_fetch
-S["cache_or_fetch"] = f"""WITH c AS (SELECT company_symbol, article_url FROM news_cache WHERE expires_date > '{AS_OF}')
+S["cache_or_fetch"] = f"""WITH c AS (SELECT company_symbol, article_url FROM news_cache WHERE id IN (SELECT id FROM ({S['cache_valid']})))
 SELECT company_symbol, article_url, true AS from_cache FROM c UNION ALL
 SELECT company_symbol, article_url, false FROM news_cache WHERE article_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.company_symbol = news_cache.company_symbol)"""
 
@@ -110,44 +110,45 @@ def _feed_articles(spark, d):
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\r"), F.lit("&#13;"))
     xml = F.concat(
         F.lit("<item><title>"), esc(F.col("article_title")), F.lit("</title><link>"), esc(F.col("article_url")), F.lit("</link><description>"), esc(F.col("article_content")),
-        F.lit("</description><category>markets</category><category>"), esc(F.coalesce("source_name", F.lit("none"))), F.lit("</category></item>"))
+        F.lit("</description><author>"), esc(F.col("company_symbol")), F.lit("</author><pubDate>"), esc(F.col("published_date")), F.lit("</pubDate><category>markets</category><category>"), esc(F.coalesce("source_name", F.lit("none"))), F.lit("</category></item>"))
     items = feeds.parse_items(rows.select("id", xml.alias("xml")))
     return feeds.to_articles(items)
 
 
 def _feed(spark, d):
-    return _feed_articles(spark, d).select("id", T.strip(F.col("title")).alias("title"), T.strip(F.col("link")).alias("link"), F.array_join("category", "|").alias("categories"))
+    rows = _feed_articles(spark, d).withColumn("description", T.strip(F.col("description")))
+    return rows.select("id", T.strip(F.col("title")).alias("title"), T.strip(F.col("link")).alias("link"), F.array_join("category", "|").alias("categories"), "description", F.length("description").alias("length"), "author", T.strip(F.col("guid")).alias("guid"), T.strip(F.col("published")).alias("published"), F.unix_micros("published_ts").alias("utc_micros"))
 
 
+_CONTENT = "coalesce(article_content, '')"
 Q["rss_parse"] = _feed
-S["rss_parse"] = rf"""SELECT id, {sql_strip('article_title')} AS title, {sql_strip('article_url')} AS link, 'markets|' || coalesce(source_name, 'none') AS categories FROM news_cache
+S["rss_parse"] = rf"""WITH p AS (SELECT id, utc_micros FROM {sql_instants("SELECT id, published_date AS x, 'UTC' AS zone, true AS day_first FROM news_cache")})
+SELECT id, {sql_strip('article_title')} AS title, {sql_strip('article_url')} AS link, 'markets|' || coalesce(source_name, 'none') AS categories, {sql_strip(_CONTENT)} AS description, length({sql_strip(_CONTENT)})::INT AS length,
+  coalesce(company_symbol, '') AS author, {sql_strip('article_url')} AS guid, {sql_strip("coalesce(published_date, '')")} AS published, utc_micros FROM news_cache JOIN p USING (id)
 WHERE regexp_replace(coalesce(article_title, ''), '{WS}', '', 'g') <> '' AND regexp_replace(coalesce(article_url, ''), '{WS}', '', 'g') <> ''"""
 
-_CONTENT = "coalesce(article_content, '')"
-Q["rss_descriptions"] = lambda spark, d: _feed_articles(spark, d).select("id", T.strip(F.col("description")).alias("description")).withColumn("length", F.length("description"))
-S["rss_descriptions"] = S["rss_parse"].replace(f"{sql_strip('article_title')} AS title, {sql_strip('article_url')} AS link, 'markets|' || coalesce(source_name, 'none') AS categories", f"{sql_strip(_CONTENT)} AS description, length({sql_strip(_CONTENT)})::INT AS length")
-
 Q["source_status"] = lambda spark, d: read(spark, d, "news_sources").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("active", F.lit(True))).alias("active"))
 S["source_status"] = "SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(active, true)) AS active FROM news_sources"
 
 Q["active_sources"] = lambda spark, d: feeds.active(read(spark, d, "news_sources")).select("source_name", "priority").orderBy("priority")
 S["active_sources"] = "SELECT source_name, priority FROM news_sources WHERE coalesce(active, true)"
 
-_RECENT = "cached_date like '2025-01%'"
-Q["fetch_report"] = lambda spark, d: feeds.fetch_report(read(spark, d, "news_sources"), news(spark, d).where(_RECENT))
-S["fetch_report"] = f"""SELECT s.source_name, coalesce(active, true) AS active, count(n.id) AS n_articles, coalesce(active, true) AND count(n.id) = 0 AS failed
-FROM news_sources s LEFT JOIN (SELECT * FROM news_cache WHERE {_RECENT}) n ON n.source_name = s.source_name GROUP BY s.source_name, active"""
+Q["fetch_report"] = lambda spark, d: feeds.fetch_report(read(spark, d, "news_sources"), news(spark, d))
+S["fetch_report"] = """SELECT s.source_name, coalesce(active, true) AS active, count(n.id) AS n_articles, coalesce(active, true) AND count(n.id) = 0 AS failed
+FROM news_sources s LEFT JOIN news_cache n ON n.source_name = s.source_name GROUP BY s.source_name, active"""
 
 Q["failure_severity"] = lambda spark, d: feeds.failure_summary(Q["fetch_report"](spark, d))
-S["failure_severity"] = f"""WITH r AS ({S['fetch_report']}), t AS (SELECT count(*) FILTER (WHERE active) AS attempted, count(*) FILTER (WHERE failed) AS failed, sum(n_articles)::BIGINT AS articles FROM r)
+S["failure_severity"] = f"""WITH r AS ({S['fetch_report']}), t AS (SELECT count(*) FILTER (WHERE active) AS attempted, count(*) FILTER (WHERE failed) AS failed, sum(n_articles)::BIGINT AS articles,
+  coalesce(string_agg(source_name, '|' ORDER BY source_name) FILTER (WHERE failed), '') AS failed_sources FROM r)
 SELECT attempted, attempted - failed AS successful, failed, articles, round((attempted - failed) / attempted * 100, 1) AS success_rate,
-  CASE WHEN attempted = failed THEN 'critical' WHEN attempted - failed < attempted / 2 THEN 'high' ELSE 'low' END AS severity FROM t"""
+  CASE WHEN attempted = failed THEN 'critical' WHEN attempted - failed < attempted / 2 THEN 'high' ELSE 'low' END AS severity, failed_sources FROM t"""
 
-Q["fetch_report_all"] = lambda spark, d: feeds.fetch_report(read(spark, d, "news_sources"), news(spark, d))
-S["fetch_report_all"] = S["fetch_report"].replace(f" WHERE {_RECENT}", "")
-
-Q["failure_severity_all"] = lambda spark, d: feeds.failure_summary(Q["fetch_report_all"](spark, d))
-S["failure_severity_all"] = S["failure_severity"].replace(f" WHERE {_RECENT}", "")
+# sources whose articles of one day are missing: a fetch window by instants, so that there are failures to report
+_SINCE, _UNTIL = "2025-01-06 00:00:00", "2025-01-13 00:00:00"
+_window = lambda spark, d: cache.not_older(news(spark, d), _SINCE, AS_OF, into="at").where(F.col("at") < F.lit(_UNTIL).cast("timestamp"))
+Q["failures_of_a_week"] = lambda spark, d: feeds.failure_summary(feeds.fetch_report(read(spark, d, "news_sources"), _window(spark, d)))
+_CACHED = "SELECT id, source_name, cached_date AS x, 'Asia/Kolkata' AS zone, true AS day_first FROM news_cache"
+S["failures_of_a_week"] = S["failure_severity"].replace("LEFT JOIN news_cache n", f"LEFT JOIN (SELECT * FROM {sql_instants(_CACHED)} WHERE utc_micros >= epoch_us(TIMESTAMP '{_SINCE}') AND utc_micros < epoch_us(TIMESTAMP '{_UNTIL}')) n")
 
 # --- collection --------------------------------------------------------------------------------------------------------
 Q["relevant_articles"] = lambda spark, d: collect.relevant(news(spark, d), companies(spark, d)).select("id", "company_symbol", F.array_join("matched_terms", "|").alias("matched"), "relevance_score")
@@ -223,49 +224,98 @@ SELECT id, round(CASE WHEN {sql_strip('txt')} = '' THEN 0 ELSE least(1.0, CASE W
 Q["identifiers_found"] = lambda spark, d: _named(spark, d).select("id", F.array_join(scores.identifiers_found(F.lower(F.concat("t", F.lit(" "), "d")), F.col("company_symbol"), F.col("company_name")), "|").alias("found"))
 S["identifiers_found"] = _NAMED + "SELECT id, concat_ws('|', CASE WHEN contains(txt, lower(symbol)) THEN 'symbol:' || symbol END, CASE WHEN contains(txt, whole) THEN 'company:' || company_name END) AS found FROM n"
 
+_V0_TERMS = T.search_terms(F.col("company_symbol"), F.col("company_name"))
+Q["identifiers_found_v0"] = lambda spark, d: _named(spark, d).select("id", F.array_join(scores.identifiers_found(F.lower(F.concat("t", F.lit(" "), "d")), F.col("company_symbol"), F.col("company_name"), _V0_TERMS), "|").alias("found"))
+S["identifiers_found_v0"] = _CS["search_terms"].split("SELECT symbol, string_agg")[0] + _NAMED.removeprefix(WITH) + """, g AS (SELECT id, string_agg('search_term:' || f.t, '|' ORDER BY k) AS terms FROM n JOIN f ON f.symbol = n.symbol AND contains(txt, lower(f.t)) GROUP BY id)
+SELECT id, concat_ws('|', CASE WHEN contains(txt, lower(symbol)) THEN 'symbol:' || symbol END, CASE WHEN contains(txt, whole) THEN 'company:' || company_name END, g.terms) AS found FROM n LEFT JOIN g USING (id)"""
+
 Q["topic_flags"] = lambda spark, d: news(spark, d).select("id", F.coalesce(scores.any_of(F.lower("article_content"), scores.BUSINESS), F.lit(False)).alias("business"), F.coalesce(scores.any_of(F.lower("article_content"), scores.IRRELEVANT), F.lit(False)).alias("irrelevant"))
 _RX = lambda ws: f"regexp_matches(lower(article_content), '{'|'.join(ws)}')"
 S["topic_flags"] = f"SELECT id, coalesce({_RX(scores.BUSINESS)}, false) AS business, coalesce({_RX(scores.IRRELEVANT)}, false) AS irrelevant FROM news_cache"
 
 Q["dedupe_hash"] = lambda spark, d: dedupe.by_hash_and_url(news(spark, d)).select("id")
-S["dedupe_hash"] = f"""WITH h AS (SELECT * FROM news_cache QUALIFY row_number() OVER (PARTITION BY company_symbol,
-    md5(lower(coalesce(article_title, '') || '|' || substr(coalesce(article_content, ''), 1, 200))) ORDER BY id) = 1),
+# white space and tags as the filter cleans them; the decomposition of compatibility characters has no SQL
+_FCLEAN = lambda c: f"""regexp_replace({sql_squeeze(sql_strip(f"coalesce({c}, '')"))}, '<[^>]+>', '', 'g')"""
+_HASH = f"md5(lower({_FCLEAN('article_title')} || '|' || substr({_FCLEAN('article_content')}, 1, 200)))"
+S["dedupe_hash"] = f"""WITH h AS (SELECT * FROM news_cache QUALIFY row_number() OVER (PARTITION BY company_symbol, {_HASH} ORDER BY id) = 1),
 u AS (SELECT *, {S['url_clean'].split('SELECT id, ')[1].split(' AS url')[0].replace('article_url', "coalesce(article_url, '')")} AS url FROM h)
 SELECT id FROM u QUALIFY row_number() OVER (PARTITION BY company_symbol, nullif(url, ''), CASE WHEN url = '' THEN id END ORDER BY id) = 1"""
 
 Q["title_jaccard_pairs"] = lambda spark, d: dedupe.headline_pairs(news(spark, d)).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
-_GAPS = f"regexp_replace(lower(coalesce(article_title, '')), '{T.NOT_WORD_OR_WS}', ' ', 'g')"
+_GAPS = f"regexp_replace(lower({_FCLEAN('article_title')}), '{T.NOT_WORD_OR_WS}', ' ', 'g')"
 _WORDS = f"list_sort(list_distinct(list_filter(string_split({sql_squeeze(sql_strip(_GAPS))}, ' '), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))))"
 S["title_jaccard_pairs"] = f"""WITH w AS (SELECT id, company_symbol AS g, {_WORDS} AS words FROM news_cache), c AS (SELECT g, words, min(id) AS c FROM w WHERE len(words) > 0 GROUP BY g, words)
 SELECT a.c AS id_a, b.c AS id_b, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))::DOUBLE, 6) AS similarity
 FROM c a JOIN c b ON a.g IS NOT DISTINCT FROM b.g AND a.c < b.c
 WHERE len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))::DOUBLE > 0.85"""
 
-Q["dedupe_fuzzy_greedy"] = lambda spark, d: dedupe.greedy(news(spark, d))
 
+def _sequence_sql(rows: str) -> str:
+    """The ids that stay, article by article in each company's order, as a recursion whose state is the lists of what is known. rows gives id, g, digest, url, words and score."""
+    return f"""RECURSIVE sq AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS rn FROM ({rows})),
+fold AS (SELECT g, 0::BIGINT AS rn, []::VARCHAR[] AS hashes, []::VARCHAR[] AS urls, []::STRUCT(words VARCHAR[], slot INT)[] AS titles, []::STRUCT(id BIGINT, score DOUBLE)[] AS slots FROM (SELECT DISTINCT g FROM sq)
+  UNION ALL
+  SELECT g, next, CASE WHEN act = 'keep' AND digest <> '' THEN list_append(hashes, digest) ELSE hashes END, CASE WHEN act = 'keep' AND url <> '' THEN list_append(urls, url) ELSE urls END,
+    CASE WHEN len(words) = 0 OR act = 'drop' THEN titles WHEN act = 'keep' THEN list_append(titles, {{'words': words, 'slot': (len(slots) + 1)::INT}})
+      WHEN list_contains(list_transform(titles, lambda t: t.words), words) THEN list_transform(titles, lambda t: CASE WHEN t.words = words THEN {{'words': t.words, 'slot': titles[m].slot}} ELSE t END)
+      ELSE list_append(titles, {{'words': words, 'slot': titles[m].slot}}) END,
+    CASE act WHEN 'keep' THEN list_append(slots, {{'id': id, 'score': score}}) WHEN 'drop' THEN slots
+      ELSE list_transform(slots, lambda x, i: CASE WHEN i = titles[m].slot THEN {{'id': id, 'score': score}} ELSE x END) END
+  FROM (SELECT *, CASE WHEN list_contains(hashes, digest) OR list_contains(urls, url) THEN 'drop' WHEN m IS NULL THEN 'keep' WHEN score > slots[titles[m].slot].score THEN 'replace' ELSE 'drop' END AS act
+    FROM (SELECT fold.*, sq.id::BIGINT AS id, digest, url, words, score::DOUBLE AS score, sq.rn AS next, CASE WHEN len(words) > 0 THEN list_position(list_transform(titles, lambda t:
+        len(list_intersect(t.words, words)) / (len(t.words) + len(words) - len(list_intersect(t.words, words)))::DOUBLE > 0.85), true) END AS m
+      FROM fold JOIN sq ON sq.g IS NOT DISTINCT FROM fold.g AND sq.rn = fold.rn + 1) AS one) AS two),
+stay AS (SELECT unnest(list_transform(slots, lambda x: x.id))::INT AS id FROM fold JOIN (SELECT g, max(rn) AS rn FROM sq GROUP BY g) AS l ON l.g IS NOT DISTINCT FROM fold.g AND l.rn = fold.rn) """
 
-def _filter_pipeline(spark, d, by_text: bool = False):
-    """Scored, thresholded, repeats dropped, not too old, best first, at most 50 of each company. by_text reads only dates that begin as yyyy-MM-dd."""
-    rows = news(spark, d).join(companies(spark, d).select(F.col("symbol").alias("company_symbol"), "company_name"), "company_symbol")
-    rows = scores.prepared(rows, F.col("article_title"), F.col("article_content"), F.col("company_name"), F.col("company_symbol"))
-    rows = rows.withColumn("score", F.round(scores.relevance(), 6)).where("score >= 0.05")
-    rows = dedupe.by_hash_and_url(rows)
-    if by_text:
-        rows = rows.withColumn("day", F.try_to_timestamp(F.substring("cached_date", 1, 10), F.lit("yyyy-MM-dd"))).where(F.col("day") >= F.lit("2025-06-01").cast("timestamp"))
-    else:
-        rows = cache.not_older(rows, "2025-06-01", AS_OF, into="day")
-    return collect.capped(rows, 50, order=[F.desc("score"), F.desc("day"), F.col("id")]).select("id", "company_symbol", "score", "rank")
 
+_CLEAN_URL = S["url_clean"].split("SELECT id, ")[1].split(" AS url")[0].replace("article_url", "coalesce(article_url, '')")
+Q["dedupe_fuzzy_greedy"] = lambda spark, d: dedupe.greedy(news(spark, d)).select(F.col("id").cast("int").alias("id"))
+S["dedupe_fuzzy_greedy"] = "WITH " + _sequence_sql(f"SELECT id, company_symbol AS g, NULL::VARCHAR AS digest, NULL::VARCHAR AS url, {_WORDS} AS words, coalesce(CASE WHEN isnan(relevance_score) THEN 0 ELSE relevance_score END, 0) AS score FROM news_cache") + "SELECT id FROM stay"
+Q["dedupe_sequence"] = lambda spark, d: dedupe.articles(news(spark, d), score="relevance_score").select(F.col("id").cast("int").alias("id"))
+S["dedupe_sequence"] = "WITH " + _sequence_sql(f"SELECT id, company_symbol AS g, {_HASH} AS digest, nullif({_CLEAN_URL}, '') AS url, {_WORDS} AS words, coalesce(CASE WHEN isnan(relevance_score) THEN 0 ELSE relevance_score END, 0) AS score FROM news_cache") + "SELECT id FROM stay"
+
+MAX_DAYS = 30
 
-Q["filter_pipeline_instants"] = _filter_pipeline
-Q["filter_pipeline_v1"] = lambda spark, d: _filter_pipeline(spark, d, by_text=True)
-S["filter_pipeline_v1"] = f"""WITH {COMPANIES}, sc AS ({S['relevance_v1']}),
-k AS (SELECT n.*, sc.score FROM news_cache n JOIN sc USING (id) WHERE sc.score >= 0.05),
-h AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY company_symbol, md5(lower(coalesce(article_title, '') || '|' || substr(coalesce(article_content, ''), 1, 200))) ORDER BY id) = 1),
-u AS (SELECT *, {S['url_clean'].split('SELECT id, ')[1].split(' AS url')[0].replace('article_url', "coalesce(article_url, '')")} AS url FROM h),
-o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY company_symbol, nullif(url, ''), CASE WHEN url = '' THEN id END ORDER BY id) = 1),
-dd AS (SELECT *, try_strptime(substr(cached_date, 1, 10), '%Y-%m-%d') AS day FROM o)
-SELECT id, company_symbol, score, row_number() OVER (PARTITION BY company_symbol ORDER BY score DESC, day DESC, id) AS rank FROM dd WHERE day >= TIMESTAMP '2025-06-01' QUALIFY rank <= 50"""
+
+def filter_pipeline(spark, d, threshold: float = 0.05, most: int = 50, version: int = 1):
+    """Scored (version 1 with the boost of the search terms), thresholded, repeats dropped in one sequence, not older than MAX_DAYS by the published instant, best and newest first, at most `most` of each company.
+
+    A null or blank published date is older than any, an unreadable one counts as now.
+    """
+    rows = news(spark, d).join(companies(spark, d).select(F.col("symbol").alias("company_symbol"), "company_name"), "company_symbol")
+    rows = with_source_zone(rows, read(spark, d, "news_sources"))
+    rows = scores.prepared(dedupe.cleaned(rows, "article_title", "article_content"), F.col("_title"), F.col("_description"), F.col("company_name"), F.col("company_symbol"))
+    if version == 1:
+        raw = F.lower(F.concat(F.coalesce("article_title", F.lit("")), F.lit(" "), F.coalesce("article_content", F.lit(""))))
+        score = scores.boosted(scores.relevance(), raw, T.search_terms(F.col("company_symbol"), F.col("company_name")))
+    else:
+        score = scores.weighted_relevance()
+    # behind a generator, so that the filter doesn't compute the score a second time
+    rows = rows.select("id", "company_symbol", "article_title", "article_content", "article_url", "published_date", "_zone", "_day", F.inline(F.array(F.struct(F.round(score, 6).alias("score"))))).where(F.col("score") >= threshold)
+    rows = materialise(rows, "scored")
+    kept = rows.join(dedupe.articles(rows), "id", "left_semi")
+    since = (F.lit(AS_OF).cast("timestamp") - F.expr(f"INTERVAL {MAX_DAYS} DAYS"))
+    at = F.coalesce(F.timestamp_micros(parse_column(F.col("published_date"), F.col("_zone"), F.col("_day"))), F.lit(AS_OF).cast("timestamp"))
+    dated = kept.where(F.trim("published_date") != "").select("*", F.inline(F.array(F.struct(at.alias("at"))))).where(F.col("at") >= since)
+    return collect.capped(dated, most, order=[F.desc("score"), F.desc("at"), F.col("id")]).select("id", "company_symbol", "score", "rank")
+
+
+def _pipeline_sql() -> str:
+    return _sequence_sql(f"SELECT k.id, company_symbol AS g, {_HASH} AS digest, nullif({_CLEAN_URL}, '') AS url, {_WORDS} AS words, score FROM k") + f""", pub AS ({PUBLISHED})
+SELECT id, company_symbol, score, row_number() OVER (PARTITION BY company_symbol ORDER BY score DESC, coalesce(utc_micros, epoch_us(TIMESTAMP '{AS_OF}')) DESC, id) AS rank
+FROM k JOIN stay USING (id) JOIN pub USING (id) WHERE trim(published_date) <> '' AND coalesce(utc_micros, epoch_us(TIMESTAMP '{AS_OF}')) >= epoch_us(TIMESTAMP '{AS_OF}' - INTERVAL {MAX_DAYS} DAYS) QUALIFY rank <= 50"""
+
+
+_CLEANED_CACHE = f"(SELECT * REPLACE ({_FCLEAN('article_title')} AS article_title, {_FCLEAN('article_content')} AS article_content) FROM news_cache) AS news_cache"
+_scored_sql = lambda name: S[name].replace("FROM news_cache JOIN companies", f"FROM {_CLEANED_CACHE} JOIN companies")
+_BOOST = _CS["search_terms"].split("SELECT symbol, string_agg")[0].removeprefix(WITH)
+Q["filter_pipeline_v1"] = filter_pipeline
+S["filter_pipeline_v1"] = f"""WITH RECURSIVE {COMPANIES}{_BOOST}, sc AS ({_scored_sql('relevance_v1')}),
+b AS (SELECT DISTINCT n.id FROM (SELECT id, company_symbol, {_TEXT} AS txt FROM news_cache) n JOIN f ON f.symbol = n.company_symbol AND contains(n.txt, lower(f.t))),
+s AS (SELECT sc.id, round(CASE WHEN b.id IS NULL THEN sc.score ELSE least(1.0, sc.score + 0.25) END, 6) AS score FROM sc LEFT JOIN b USING (id)),
+k AS (SELECT n.*, s.score FROM news_cache n JOIN s USING (id) WHERE s.score >= 0.05), """ + _pipeline_sql().removeprefix("RECURSIVE ")
+Q["filter_pipeline_v0"] = lambda spark, d: filter_pipeline(spark, d, 0.2, version=0)
+S["filter_pipeline_v0"] = f"WITH RECURSIVE {COMPANIES}, sc AS ({_scored_sql('relevance_v0')}), k AS (SELECT n.*, sc.score FROM news_cache n JOIN sc USING (id) WHERE sc.score >= 0.2), " + _pipeline_sql().removeprefix("RECURSIVE ")
 
 # --- preparation -------------------------------------------------------------------------------------------------------
 Q["text_clean"] = lambda spark, d: news(spark, d).select("id", T.clean_for_model(F.col("article_content")).alias("content"))
@@ -309,10 +359,7 @@ def _chunks(spark, d, cap: int | None = 15):
 
 
 Q["chunks"] = lambda spark, d: _chunks(spark, d, None).select("ord", "chunk_id", "total_chunks", "text")
-Q["chunk_counts"] = lambda spark, d: _articles(spark, d).select("id", F.size(chunks.chunk_texts(F.col("full_text"))).alias("n"), (F.length("full_text") / 4 <= 400).alias("single")).groupBy("single").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("n") >= 1).alias("with_chunks"), F.count_if(F.col("n") == 1).alias("one_chunk")).where("single").select("articles", "with_chunks", "one_chunk")
-S["chunk_counts"] = f"WITH a AS ({S['articles_prepared']}) SELECT count(*) AS articles, count(*) AS with_chunks, count(*) AS one_chunk FROM a WHERE length(full_text) / 4.0 <= 400"
-
-Q["chunk_counts_all"] = lambda spark, d: chunks.counts(_articles(spark, d))
+Q["chunk_counts"] = lambda spark, d: chunks.counts(_articles(spark, d))
 
 # --- sentiment ---------------------------------------------------------------------------------------------------------
 Q["softmax_label"] = lambda spark, d: sentiment.with_softmax(read(spark, d, "embeddings"), F.slice("embedding", 1, 3).cast("array<double>"), "p").select(

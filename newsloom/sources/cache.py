@@ -23,17 +23,13 @@ def not_older(rows: DataFrame, since: str, as_of: str, date: str = "cached_date"
     return rows.where(F.col(into) >= F.lit(since).cast("timestamp"))
 
 
-def valid(cache: DataFrame, as_of: str, by_text: bool = False) -> DataFrame:
-    """Rows that expire after as_of. by_text compares the texts as written, which only orders texts of one form."""
-    if by_text:
-        return cache.where(F.col("expires_date") > F.lit(as_of))
+def valid(cache: DataFrame, as_of: str) -> DataFrame:
+    """Rows that expire after as_of, by the instants of what is written; an unreadable expiry is none."""
     return cache.where(instant(F.col("expires_date")) > F.lit(as_of).cast("timestamp"))
 
 
-def purge(cache: DataFrame, as_of: str, by_text: bool = False) -> DataFrame:
-    """What is left without the rows that expired before as_of; a row that expires at as_of stays."""
-    if by_text:
-        return cache.where(F.coalesce(F.col("expires_date") >= F.lit(as_of), F.lit(True)))
+def purge(cache: DataFrame, as_of: str) -> DataFrame:
+    """What is left without the rows that expired before as_of; a row that expires at as_of stays, and so does one without readable expiry."""
     return cache.where(F.coalesce(instant(F.col("expires_date")) >= F.lit(as_of).cast("timestamp"), F.lit(True)))
 
 

@@ -118,9 +118,9 @@ def fetch_report(sources: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def failure_summary(report: DataFrame) -> DataFrame:
-    """One row: sources attempted, successful, failed, share of successes in percent, and how severe the failures are."""
+    """One row: sources attempted, successful, failed, share of successes in percent, how severe the failures are, and the failed sources by name."""
     total, failed = F.count_if("active"), F.count_if("failed")
-    row = report.agg(total.alias("attempted"), failed.alias("failed"), F.sum("n_articles").alias("articles"))
+    row = report.agg(total.alias("attempted"), failed.alias("failed"), F.sum("n_articles").alias("articles"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("failed"), F.col("source_name")))), "|").alias("failed_sources"))
     ok = F.col("attempted") - F.col("failed")
     severity = F.when(ok == 0, "critical").when(ok < F.col("attempted") / 2, "high").otherwise("low")
-    return row.select("attempted", ok.alias("successful"), "failed", F.coalesce("articles", F.lit(0)).alias("articles"), F.round(F.coalesce(F.try_divide(ok, F.col("attempted")), F.lit(0.0)) * 100, 1).alias("success_rate"), severity.alias("severity"))
+    return row.select("attempted", ok.alias("successful"), "failed", F.coalesce("articles", F.lit(0)).alias("articles"), F.round(F.coalesce(F.try_divide(ok, F.col("attempted")), F.lit(0.0)) * 100, 1).alias("success_rate"), severity.alias("severity"), "failed_sources")

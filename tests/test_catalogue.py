@@ -47,7 +47,7 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_fetch_report_counts_every_month_and_form(spark, duck):
     want = duck.execute("SELECT count(*) FROM news_cache JOIN news_sources USING (source_name)").fetchone()[0]
-    assert catalogue.QUERIES["failure_severity_all"](spark, SF).first()["articles"] == want
+    assert catalogue.QUERIES["failure_severity"](spark, SF).first()["articles"] == want
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
