@@ -224,8 +224,7 @@ SELECT id, round(CASE WHEN {sql_strip('txt')} = '' THEN 0 ELSE least(1.0, CASE W
 Q["identifiers_found"] = lambda spark, d: _named(spark, d).select("id", F.array_join(scores.identifiers_found(F.lower(F.concat("t", F.lit(" "), "d")), F.col("company_symbol"), F.col("company_name")), "|").alias("found"))
 S["identifiers_found"] = _NAMED + "SELECT id, concat_ws('|', CASE WHEN contains(txt, lower(symbol)) THEN 'symbol:' || symbol END, CASE WHEN contains(txt, whole) THEN 'company:' || company_name END) AS found FROM n"
 
-_V0_TERMS = T.search_terms(F.col("company_symbol"), F.col("company_name"))
-Q["identifiers_found_v0"] = lambda spark, d: _named(spark, d).select("id", F.array_join(scores.identifiers_found(F.lower(F.concat("t", F.lit(" "), "d")), F.col("company_symbol"), F.col("company_name"), _V0_TERMS), "|").alias("found"))
+Q["identifiers_found_v0"] = lambda spark, d: _named(spark, d).select("id", F.array_join(scores.identifiers_found(F.lower(F.concat("t", F.lit(" "), "d")), F.col("company_symbol"), F.col("company_name"), T.search_terms(F.col("company_symbol"), F.col("company_name"))), "|").alias("found"))
 S["identifiers_found_v0"] = _CS["search_terms"].split("SELECT symbol, string_agg")[0] + _NAMED.removeprefix(WITH) + """, g AS (SELECT id, string_agg('search_term:' || f.t, '|' ORDER BY k) AS terms FROM n JOIN f ON f.symbol = n.symbol AND contains(txt, lower(f.t)) GROUP BY id)
 SELECT id, concat_ws('|', CASE WHEN contains(txt, lower(symbol)) THEN 'symbol:' || symbol END, CASE WHEN contains(txt, whole) THEN 'company:' || company_name END, g.terms) AS found FROM n LEFT JOIN g USING (id)"""
 
@@ -359,7 +358,26 @@ def _chunks(spark, d, cap: int | None = 15):
 
 
 Q["chunks"] = lambda spark, d: _chunks(spark, d, None).select("ord", "chunk_id", "total_chunks", "text")
+
+
+def _chunks_sql(prepared: str) -> str:
+    """Common tables that end with cut (id, chunk_id, total_chunks, text): the chunks of prepared (id, full_text), sentence by sentence."""
+    return rf"""a AS ({prepared}), l AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(full_text, '([.!?]){WS}+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: length(x) > 10) AS ss
+  FROM a WHERE length(full_text) / 4.0 > 400),
+f AS (SELECT id, 0 AS k, '' AS cur, 0.0::DOUBLE AS tok, []::VARCHAR[] AS done FROM l
+  UNION ALL SELECT id, k + 1, CASE WHEN filled THEN opened WHEN cur <> '' THEN cur || ' ' || x ELSE x END, CASE WHEN filled THEN length(opened) / 4.0::DOUBLE ELSE tok + length(x) / 4.0::DOUBLE END,
+    CASE WHEN filled THEN list_append(done, {sql_strip('cur')}) ELSE done END
+  FROM (SELECT *, CASE WHEN len(string_split(cur, ' ')) > 12 THEN array_to_string(string_split(cur, ' ')[-12:], ' ') || ' ' || x ELSE x END AS opened, tok + length(x) / 4.0::DOUBLE > 400 AND cur <> '' AS filled
+    FROM (SELECT f.*, l.ss[f.k + 1] AS x FROM f JOIN l ON l.id = f.id AND f.k < len(l.ss)) AS u) AS v),
+z AS (SELECT f.id, CASE WHEN {sql_strip('cur')} <> '' THEN list_append(done, {sql_strip('cur')}) ELSE done END AS texts FROM f JOIN l ON l.id = f.id AND f.k = len(l.ss)
+  UNION ALL SELECT id, [full_text] FROM a WHERE length(full_text) / 4.0 <= 400),
+cut AS (SELECT id, unnest(texts) AS text, generate_subscripts(texts, 1) - 1 AS chunk_id, len(texts) AS total_chunks FROM z) """
+
+
+S["chunks"] = f"WITH RECURSIVE {_chunks_sql(S['articles_prepared'])} SELECT id AS ord, chunk_id, total_chunks, text FROM cut"
 Q["chunk_counts"] = lambda spark, d: chunks.counts(_articles(spark, d))
+S["chunk_counts"] = f"""WITH RECURSIVE {_chunks_sql(S['articles_prepared'])} SELECT length(full_text) / 4.0 <= 400 AS single, count(*) AS articles, count(*) FILTER (WHERE len(texts) >= 1) AS with_chunks,
+  count(*) FILTER (WHERE len(texts) = 1) AS one_chunk, sum(len(texts))::BIGINT AS chunks FROM a JOIN z USING (id) GROUP BY 1"""
 
 # --- sentiment ---------------------------------------------------------------------------------------------------------
 Q["softmax_label"] = lambda spark, d: sentiment.with_softmax(read(spark, d, "embeddings"), F.slice("embedding", 1, 3).cast("array<double>"), "p").select(
@@ -396,6 +414,11 @@ def predicted(spark, d, symbols: list[str] | None = None):
     return sentiment.scored(cut)
 
 
+_KEPT = f"""SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY company_symbol ORDER BY id) AS place FROM (SELECT n.* FROM news_cache n WHERE id IN (SELECT id FROM ({S['relevant_articles']}) AS r)
+    QUALIFY row_number() OVER (PARTITION BY company_symbol, lower(article_title), article_url ORDER BY id) = 1) AS n) AS m WHERE place <= 15"""
+_FLAG = f"""WITH RECURSIVE kept AS ({_KEPT}), {_chunks_sql(S['articles_prepared'].replace("FROM news_cache)", "FROM kept)"))}, texts AS (SELECT cut.*, company_symbol FROM cut JOIN kept USING (id)), """
+_FLAG += _SCORED.removeprefix("WITH ").replace("FROM documents", "FROM texts").replace("l AS (SELECT *, lower(text) AS low", "lo AS (SELECT *, lower(text) AS low").replace("AS c FROM l)", "AS c FROM lo)").replace("g AS (SELECT *, (", "gc AS (SELECT *, (").replace("FROM g)", "FROM gc)")
+S["verdict_flagship"] = _FLAG + S["verdict_by_company"].removeprefix(_SCORED).split("\nSELECT *")[0] + " SELECT * FROM w"
 Q["verdict_flagship"] = lambda spark, d: verdict.summary(predicted(spark, d), ["company_symbol"])
 Q["verdict_documents"] = lambda spark, d: verdict.documents(predicted(spark, d), companies(spark, d))
 
