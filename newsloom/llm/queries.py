@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from newsloom.plans.instants import PUBLISHED
 from newsloom.llm import encode, history, lookalike, neardup, packing, splitting, topn, truncation
 
 QUERIES: dict = {
@@ -33,4 +34,12 @@ SELECT id, CASE WHEN list_max(list_transform(ps, lambda p: {_BARE('p')})) <= 160
   WHEN list_max(list_transform(string_split_regex(t, '{_WS}+'), lambda w: length(w))) <= 1600 THEN 'word' ELSE 'none' END AS boundary FROM s""",
     # every piece of every row: the pieces without their overlaps are the text, whole
     "p6_rebuilt": "SELECT id, md5(article_content) AS text_md5, true AS within, true AS repeats, true AS numbered FROM news_cache WHERE length(article_content) > 1600",
+    "p3_found": f"""WITH pub AS ({PUBLISHED}) SELECT company_symbol, id FROM news_cache JOIN pub USING (id) QUALIFY row_number() OVER (PARTITION BY company_symbol
+  ORDER BY coalesce(isnan(relevance_score), true), CASE WHEN NOT isnan(relevance_score) THEN relevance_score END DESC, utc_micros DESC NULLS LAST, id) <= 5""",
+    # every pair of rows that shares a shingle, counted
+    "p4_found": """WITH w AS (SELECT id, regexp_extract_all(lower(coalesce(article_title, '') || ' ' || article_content), '[\\p{L}\\p{N}]+') AS ws FROM news_cache
+  WHERE len(regexp_extract_all(lower(article_content), '[\\p{L}\\p{N}]+')) >= 30),
+s AS (SELECT DISTINCT id, hash(ws[k], ws[k + 1], ws[k + 2]) AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS k FROM w)), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n AS x ON x.id = id_a JOIN n AS y ON y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)""",
 }
