@@ -14,6 +14,7 @@ QUERIES: dict = {
     "p5_found": truncation.p5_found,
     "p5_sources": truncation.p5_sources,
     "p5_limits": truncation.p5_limits,
+    "p5_steps": truncation.p5_steps,
     "p6_found": splitting.p6_found,
     "p6_pieces": splitting.p6_pieces,
     "p6_rebuilt": splitting.p6_rebuilt,

@@ -133,7 +133,7 @@ def hidden_limits(rows: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def find_cut(rows: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
-    """row_id, source, cut of every row: whether its text was cut off before its end.
+    """row_id, source, cut, at_limit, limit_only of every row: whether its text was cut off before its end, whether it has a length at which its source cuts, and whether that alone made it cut.
 
     Null and blank texts, stubs and complete texts that close with a byline, tags, link, list or table line aren't cut. A null source is a source of its own.
     Repeated rows come out each; other columns are left out; an empty table gives none. Lengths of all rows are counted per
@@ -148,18 +148,23 @@ def find_cut(rows: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for b in batches:
-            cut = []
+            cut, at, only = [], [], []
             for t, src, raw in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3)):
                 if t is None:
-                    cut.append(False)
+                    for out in (cut, at, only):
+                        out.append(False)
                     continue
                 if src not in memo:
                     memo[src] = {(x["base"], x["variant"], x["length"]) for x in raw.as_py() or ()}
                 known = memo[src]
-                cut.append(is_cut(t, bool(known) and any(x in known for x in measures(t))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.bool_())], names=["id", "source", "cut"])
+                at.append(bool(known) and any(x in known for x in measures(t)))
+                cut.append(is_cut(t, at[-1]))
+                only.append(at[-1] and cut[-1] and not is_cut(t, False))
+            columns = [b.column(0), b.column(1), *(pa.array(x, pa.bool_()) for x in (cut, at, only))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "cut", "at_limit", "limit_only"])
 
-    return joined.mapInArrow(run, f"id {kind}, source string, cut boolean").select(F.col("id").alias(row_id), F.col("source").alias(source), "cut")
+    told = joined.mapInArrow(run, f"id {kind}, source string, cut boolean, at_limit boolean, limit_only boolean")
+    return told.select(F.col("id").alias(row_id), F.col("source").alias(source), "cut", "at_limit", "limit_only")
 
 
 def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +181,11 @@ def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("cut_share", F.col("n_cut") / F.col("n_rows"))
 
 
+def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each step decides: rows at one of their source's limits and others, how many of them are cut, and how many only the limit tells from whole ones."""
+    return _news(spark, sf_dir).groupBy("at_limit").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("cut").alias("n_cut"), F.count_if("limit_only").alias("n_limit_only"))
+
+
 def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hidden limits of each source, by the encoding under which its texts have one length."""
     found = hidden_limits(spark.read.parquet(f"{sf_dir}/news_cache.parquet").select("article_content", "source_name"), "article_content", "source_name")

@@ -77,6 +77,19 @@ def test_the_boundary_that_suffices_comes_from_the_bisection(parts, limit, words
     assert "".join(text[a:b] for _, a, b, _ in cut) == text and all(b - o <= limit for o, _, b, _ in cut)
 
 
+def test_only_the_limit_tells_cut_from_whole(spark):
+    filler = "The unit grew on the back of demand from abroad and at home. " * 9
+    of = lambda n: (filler + "It stood at ₹84.")[-n:]
+    rows = [(k, of(300), "cuts at 300 characters") for k in range(40)] + [(100 + k, of(200 + 3 * k), "cuts nowhere") for k in range(40)]
+    # of different numbers of characters, but all of 320 bytes
+    tail, size = "It stood at ₹84.", lambda t: len(t.encode())
+    rows += [(200 + k, "é" * k + filler[-(320 - 2 * k - size(tail)) :] + tail, "cuts at 320 bytes") for k in range(40)]
+    assert {size(t) for i, t, _ in rows if i >= 200} == {320} and len({len(t) for i, t, _ in rows if i >= 200}) == 40
+    got = {r.id: r for r in tr.find_cut(spark.createDataFrame(rows, "id int, t string, s string"), "id", "t", "s").collect()}
+    assert all(got[k].cut and got[k].limit_only for k in (*range(40), *range(200, 240)))
+    assert not any(got[100 + k].cut for k in range(40))
+
+
 def check(text, limit=1600):
     cut, suffices = sp.pieces(text, limit)
     assert suffices == sufficient(text, limit)
