@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.timestamps import parse_instant
-from newsloom.session import broadcast_if_small, path_exists, shared_dir
+from newsloom.session import broadcast_if_small, materialise, path_exists, shared_dir
 
 KEY = ["_raw", "_zone", "_day_first"]
 #: A value that more than 1 / HOT of all rows share is joined by broadcast; there are fewer than HOT such values.
@@ -68,16 +68,16 @@ class TimestampDictionary:
             *[F.col(f"`{c}`") for c in keep],
             raw.alias("_raw"), F.coalesce(zone, F.lit("UTC")).alias("_zone"), F.coalesce(day_first, F.lit(True)).alias("_day_first"),
         )
-        counts = keyed.where(F.trim("_raw") != "").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+        counts = materialise(keyed.where(F.trim("_raw") != "").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")), "values")
         known = self.read()
         new = counts if known is None else counts.join(known.select(*KEY), KEY, "left_anti")
-        schema = "_raw string, _zone string, _day_first boolean, _n bigint, _micros bigint"
-        parsed = new.select(*KEY, "_n").mapInArrow(_parse, schema)
+        parsed = new.select(*KEY).mapInArrow(_parse, "_raw string, _zone string, _day_first boolean, _micros bigint")
         parsed.write.mode("append").option("compression", "zstd").parquet(self.path)
-        table = self.read().where(F.col("_micros").isNotNull())
-        total = table.agg(F.sum("_n")).first()[0] or 0
+        # how often a value occurs is counted anew in each call: one that was rare before may be hot now
+        table = counts.join(self.read().where(F.col("_micros").isNotNull()), KEY)
+        total = counts.agg(F.sum("_n")).first()[0] or 0
         hot_if = F.col("_n") > max(total // HOT, 1000)
-        hot = broadcast_if_small(table.where(hot_if).select(*KEY, F.col("_micros").alias("_hot")), HOT)
+        self.hot = hot = broadcast_if_small(table.where(hot_if).select(*KEY, F.col("_micros").alias("_hot")), HOT)
         cold = table.where(~hot_if).select(*KEY, F.col("_micros").alias("_cold"))
         # a row that the broadcast has answered joins under a null key, spread over all partitions by the outer join
         first = keyed.join(hot, KEY, "left").withColumn("_look", F.when(F.col("_hot").isNull() & (F.trim("_raw") != ""), F.col("_raw")))

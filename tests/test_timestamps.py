@@ -75,3 +75,20 @@ def test_parse_column_and_source_zone(spark):
     zoned = with_source_zone(rows, sources).select("id", parse_column(F.lit("02/01/2025"), F.col("_zone"), F.col("_day")).alias("t"))
     assert {tuple(r) for r in zoned.collect()} == {(1, us(2025, 1, 31, 18, 30)), (2, us(2025, 1, 2)), (3, us(2025, 1, 2))}
     assert with_source_zone(rows.limit(0), sources.limit(0)).count() == 0
+
+
+def test_a_value_that_becomes_hot_in_a_later_run(spark):
+    kept = TimestampDictionary(spark)
+    schema = "id int, raw string"
+    once = kept.normalise(spark.createDataFrame([(1, "2025-01-02 03:04"), (2, "soon")], schema), F.col("raw"), F.lit("UTC"), F.lit(True))
+    assert kept.hot.count() == 0 and once.where("utc_micros is not null").count() == 1
+    many = spark.range(5000).selectExpr("cast(id as int) as id", "case when id < 4000 then '2025-01-02 03:04' else concat('2025-03-01 00:00:00.', id) end as raw")
+    again = kept.normalise(many, F.col("raw"), F.lit("UTC"), F.lit(True))
+    assert [r._raw for r in kept.hot.collect()] == ["2025-01-02 03:04"]
+    assert again.count() == 5000 and again.where("utc_micros is null").count() == 0
+
+
+def test_long_texts_are_read_whole():
+    assert parse_instant(" " * 200 + "2025-01-02" + " " * 200) is not None
+    assert parse_instant("2025-01-02T03:04:05" + " " * 200 + "+05:30") == parse_instant("2025-01-02T03:04:05+05:30")
+    assert parse_instant("2025-01-02 " * 50_000) is None
