@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from newsloom.llm.words import mix
 
 HASHES = 5
+#: Filters that one task joins.
+FAN = 16
 
 
 def size_for(keys: int, most_bits: int = 1 << 28) -> int:
@@ -40,7 +42,7 @@ def contains(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def distributed(keys: DataFrame, count: int) -> np.ndarray:
-    """One filter over the only column of keys: each partition sets its bits, one task joins them. The filter, not the keys, comes to the driver."""
+    """One filter over the only column of keys: each partition sets its bits, and a tree of tasks joins them, FAN at a time. The filter, not the keys, comes to the driver."""
     bits = size_for(count)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,5 +61,14 @@ def distributed(keys: DataFrame, count: int) -> np.ndarray:
                 table |= np.frombuffer(x.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
 
-    rows = keys.mapInArrow(local, "bits binary").repartition(1).mapInArrow(join, "bits binary").collect()
-    return np.frombuffer(rows[0][0], np.uint8) if rows else np.zeros(bits // 8, np.uint8)
+    # the partitions' filters are joined FAN at a time, until one is left
+    filters = keys.mapInArrow(local, "bits binary")
+    n = filters.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // FAN)
+        filters = filters.repartition(n).mapInArrow(join, "bits binary")
+    rows = filters.collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out |= np.frombuffer(r[0], np.uint8)
+    return out

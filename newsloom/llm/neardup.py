@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bloom
+from newsloom.llm.prints import ragged
 from newsloom.llm.words import WordHashes, find_words, mix
 from newsloom.operators.components import components
 from newsloom.session import materialise, spread
@@ -38,6 +39,12 @@ PARTS, AGREE = 32, 0.25
 RARE = 60
 #: Unweighted coordinates whose probes (below) count how many texts are like a text, and how many others, over all probes, make a family.
 PLAIN, FAMILY = FIRST * SECOND, 150
+#: Classes with one signature that are paired in one go; of more, blocks of so many are paired with each other in tasks of their own.
+HEAVY = 2000
+#: Copies of a class that one task pairs with all others.
+COPIES = 1000
+#: Pairs that are made at once.
+PAIRS = 1_000_000
 #: Parts and coordinates of a part in the signatures of such texts; with half of their union in common, 0.3 % of pairs share none.
 WIDE, DEEP = 16, 4
 
@@ -253,6 +260,120 @@ def signatures(sets: DataFrame, penalty_sketch: np.ndarray, like_sketch: np.ndar
     return sets.select("cls", "n", "shingles").mapInArrow(run, "sig bigint, cls bigint")
 
 
+def _group_pairs(begins: np.ndarray, length: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs within each group of a sorted array, in slices."""
+    group = np.repeat(begins, length)
+    later = np.arange(len(cls)) - group  # so many of its group come before each
+    ends = np.cumsum(later)
+    done = 0
+    while done < len(cls):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, side="right")))
+        n = later[done:upto]
+        b = np.repeat(cls[done:upto], n)
+        a = cls[ragged(group[done:upto].astype(np.int64), n)]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64)), pa.nulls(len(a), pa.int32())], names=["cls_a", "cls_b", "sig", "block"])
+        done = upto
+
+
+def _pair_up(batches: Iterator[pa.RecordBatch], heavy: int = HEAVY) -> Iterator[pa.RecordBatch]:
+    """Pairs of the classes that share a signature, from rows sorted by sig and cls; the members of a heavy signature come out singly, with the number of their block."""
+    sig, cls = np.empty(0, np.int64), np.empty(0, np.int64)
+    open_sig, block = None, 0  # a heavy signature whose members are being given out
+
+    def members(s: int, own: np.ndarray, k: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(np.full(len(own), s)), pa.array(np.full(len(own), k, np.int32))], names=["cls_a", "cls_b", "sig", "block"])
+
+    def groups(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal sig, cls, open_sig, block
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])[: len(sig)]
+        sig, cls = sig[fresh], cls[fresh]
+        begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
+        length = np.diff(np.append(begins, len(sig)))
+        small = length <= heavy
+        if len(begins) and sig[0] == open_sig:
+            small[0] = False
+        if len(begins) and not last:
+            small[-1] = False
+        yield from _group_pairs(*_compact(begins[small], length[small], cls))
+        rest = 0
+        for at, n in zip(begins[~small].tolist(), length[~small].tolist()):
+            s, end = int(sig[at]), at + n
+            if s != open_sig:
+                if end == len(sig) and not last and n <= heavy:  # may go on with the next batch
+                    rest = n
+                    continue
+                open_sig, block = s, 0
+            ended = last or end < len(sig)
+            while n > heavy or n and ended:
+                take = min(n, heavy)
+                yield members(s, cls[end - n : end - n + take], block)
+                block, n = block + 1, n - take
+            rest = n if end == len(sig) else 0
+        sig, cls = sig[len(sig) - rest :], cls[len(cls) - rest :]
+
+    for b in batches:
+        sig = np.concatenate([sig, b.column(0).to_numpy(zero_copy_only=False)])
+        cls = np.concatenate([cls, b.column(1).to_numpy(zero_copy_only=False)])
+        yield from groups(False)
+    yield from groups(True)
+
+
+def _compact(begins: np.ndarray, length: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(length) - length, length, cls[ragged(begins.astype(np.int64), length)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of a heavy signature, from rows sorted by sig, block of the one, block of the other, cls, with the own block of each: at most 2 * HEAVY rows a pair of blocks."""
+    held: list = []
+
+    def pairs(rows: list) -> Iterator[pa.RecordBatch]:
+        cls, own = (np.concatenate([r[k] for r in rows]) for k in (3, 4))
+        one, other = rows[0][1][0], rows[0][2][0]
+        if one == other:
+            cls = np.unique(cls)
+            yield from _group_pairs(np.zeros(1, np.int64), np.array([len(cls)]), cls)
+            return
+        x, y = cls[own == one], cls[own == other]
+        for at in range(0, len(x), max(1, PAIRS // max(len(y), 1))):
+            part = x[at : at + max(1, PAIRS // max(len(y), 1))]
+            a, b = np.repeat(part, len(y)), np.tile(y, len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64)), pa.nulls(len(a), pa.int32())], names=["cls_a", "cls_b", "sig", "block"])
+
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(cols[0]):
+            continue
+        new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(cols[0])]):
+            own = [c[lo:hi] for c in cols]
+            if held and any(held[0][k][0] != own[k][0] for k in range(3)):
+                yield from pairs(held)
+                held = []
+            held.append(own)
+    if held:
+        yield from pairs(held)
+
+
+PAIRED = "cls_a bigint, cls_b bigint, sig bigint, block int"
+
+
+def sharing(sigs: DataFrame, heavy_from: int = HEAVY) -> DataFrame:
+    """cls_a < cls_b for each signature that both have. sigs: sig and cls, repeated rows count once.
+
+    Rows of a signature stream through a task in order. A signature with more than heavy_from classes, whose pairs would be too many for one task, is cut into blocks, and each two
+    blocks are paired in a task of their own, so that no task holds more than 2 * heavy_from of them.
+    """
+    parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = materialise(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "cls").mapInArrow(lambda batches: _pair_up(batches, heavy_from), PAIRED), "sharing")
+    heavy = met.where("block is not null").select("sig", "block", F.col("cls_a").alias("cls"))
+    blocks = heavy.groupBy("sig").agg(F.max("block").alias("last"))
+    each = heavy.join(blocks, "sig").select("sig", "block", "cls", F.explode(F.sequence(F.lit(0), "last")).alias("with"))
+    each = each.select("sig", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "cls", "block")
+    across = each.repartition("sig", "one", "other").sortWithinPartitions("sig", "one", "other", "cls").mapInArrow(_blocks, PAIRED)
+    return met.where("block is null").unionByName(across).select("cls_a", "cls_b")
+
+
 def similar_sets(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """cls_a < cls_b: the pairs of different sets with at least similarity of their union in common. table: what shingled gives, written."""
     spark = table.sparkSession
@@ -263,10 +384,8 @@ def similar_sets(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rare = RARE + max(1, sets.rdd.getNumPartitions())
     penalty = np.maximum(1.0, (np.maximum(counts - counts.mean(), 0) + 1) / rare).astype(np.float32)
     sigs = signatures(sets, penalty, probe_sketch(sets, bits))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_out = sigs.repartition(parts, "sig").dropDuplicates(["sig", "cls"])
-    shared = sorted_out.alias("a").join(sorted_out.alias("b"), F.expr("a.sig = b.sig and a.cls < b.cls"))
-    met = materialise(shared.groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).agg(F.count(F.lit(1)).alias("k")), "met")
+    shared = sharing(sigs)
+    met = materialise(shared.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("k")), "met")
     pairs = materialise(met.where(f"k >= {SHARED}").select("cls_a", "cls_b").unionByName(_agreeing(met.where(f"k < {SHARED}"), sets)), "candidates")
 
     # the sets of candidates only, picked by a Bloom filter, go through the exact check
@@ -310,12 +429,17 @@ def near_duplicates(rows: DataFrame, row_id: str, title: str, content: str, simi
 
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
     """id_a < id_b: every pair of rows in linked classes or in one class. The result is as long as the pairs there are."""
-    several = members.groupBy("cls").count().where("count > 1").select("cls")
-    held = members.join(several, "cls", "left_semi")
-    same = held.alias("x").join(held.alias("y"), F.expr("x.cls = y.cls and x.id < y.id")).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    x = members.select(F.col("cls").alias("cls_a"), F.col("id").alias("x"))
+    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = members.join(several, "cls").withColumn("salts", F.ceil(F.col("n") / COPIES).cast("int"))
+    # the copies of a class are spread over salts on one side and repeated for each on the other: no task pairs more than COPIES of them with the rest
+    x = held.select("cls", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), "salts").alias("salt"))
+    y = held.select("cls", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)).alias("salt"))
+    same = x.join(y, ["cls", "salt"]).where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    sizes = members.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("salts"))
+    spread_links = links.join(sizes.withColumnRenamed("cls", "cls_a"), "cls_a").select("cls_a", "cls_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)).alias("salt"))
+    x = members.join(sizes, "cls").select(F.col("cls").alias("cls_a"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), "salts").alias("salt"))
     y = members.select(F.col("cls").alias("cls_b"), F.col("id").alias("y"))
-    across = links.join(x, "cls_a").join(y, "cls_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    across = spread_links.join(x, ["cls_a", "salt"]).join(y, "cls_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return same.unionByName(across)
 
 

@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+import pytest
+
 from newsloom.llm import neardup as n
 from newsloom.operators.components import components
 from newsloom.llm.words import find_words
@@ -75,6 +78,37 @@ def test_one_large_family(spark):
     assert n.groups_of(members, links).select("group_id").distinct().count() == 1
 
 
+@pytest.mark.parametrize(("heavy", "rows_a_batch"), [(2000, 10_000), (5, 10_000), (5, 7), (1, 3)])
+def test_signatures_shared_by_many(spark, monkeypatch, heavy, rows_a_batch):
+    monkeypatch.setattr(n, "PAIRS", 50)
+    rng = random.Random(heavy)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 40 + k % 30]), rng.randrange(60)) for k in range(300)] + [(9, 5), (9, 5)]
+    of = defaultdict(set)
+    for s, c in rows:
+        of[s].add(c)
+    want = sorted((a, b) for cs in of.values() for a in cs for b in cs if a < b)
+    # batches that end inside groups, in process
+    batches = [sorted(rows)[k : k + rows_a_batch] for k in range(0, len(rows), rows_a_batch)]
+    made = [r for b in n._pair_up((pa.RecordBatch.from_arrays([pa.array([x[k] for x in b], pa.int64()) for k in (0, 1)], names=["sig", "cls"]) for b in batches), heavy) for r in b.to_pylist()]
+    single = sorted((r["sig"], r["cls_a"]) for r in made if r["block"] is not None)
+    assert single == sorted((s, c) for s, cs in of.items() if len(cs) > heavy for c in cs)
+    assert sorted((r["cls_a"], r["cls_b"]) for r in made if r["block"] is None) == sorted((a, b) for cs in of.values() if len(cs) <= heavy for a in cs for b in cs if a < b)
+    if rows_a_batch > 100:
+        got = n.sharing(spark.createDataFrame(rows, "sig long, cls long"), heavy)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("copies", [1000, 2])
+def test_pairs_of_classes_with_many_copies(spark, monkeypatch, copies):
+    monkeypatch.setattr(n, "COPIES", copies)
+    cls = {1: range(0, 9), 2: range(10, 14), 3: [20]}
+    members = spark.createDataFrame([(i, c) for c, own in cls.items() for i in own], "id long, cls long")
+    links = spark.createDataFrame([(1, 2), (2, 3)], "cls_a long, cls_b long")
+    want = {(a, b) for own in cls.values() for a in own for b in own if a < b} | {(a, b) for x, y in ((1, 2), (2, 3)) for a in cls[x] for b in cls[y]}
+    got = [tuple(r) for r in n.pairs_of(members, links).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_nothing_to_find(spark):
     empty = spark.createDataFrame([], SCHEMA)
     members, links = n.near_duplicates(empty, "id", "t", "c")
