@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import STOP_WORDS, squeeze, strip, without_suffix
@@ -115,3 +115,10 @@ def matched_terms(text: Column, terms: Column) -> Column:
     """The terms, sorted, of which every word occurs in the lower-cased text; a term that occurs as a whole is among them."""
     hit = lambda t: F.forall(F.split(F.lower(t), " +"), lambda w: F.contains(text, w))
     return F.array_sort(F.array_distinct(F.filter(terms, lambda t: (t != "") & hit(t))))
+
+
+def filter_stats(spark: SparkSession) -> DataFrame:
+    """What each version of the filter goes by: a row for each, with its threshold, limits, keywords and stop words."""
+    keywords = sum(map(len, KEYWORDS.values()))
+    rows = [(1, 0.05, 50, 30, 0, len(STOP_WORDS)), (0, 0.2, 50, 7, keywords, len(STOP_WORDS))]
+    return spark.createDataFrame(rows, "version int, relevance_threshold double, max_articles int, max_days int, total_keywords int, stop_words int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import display, scores, text as T
 from newsloom.operators import chunks, collect, dedupe, sentiment, sessions, verdict
 from newsloom.plans.instants import EXPIRES, PUBLISHED, sql_instants
-from newsloom.plans.shared import AS_OF, COMPANIES, WS, companies, read, sql_squeeze, sql_strip, sql_without_suffix
+from newsloom.plans.shared import AS_OF, COMPANIES, WS, companies, query_list, read, sql_squeeze, sql_strip, sql_without_suffix
 from newsloom.operators.timestamps import parse_column, with_source_zone
 from newsloom.session import materialise, shared_dir, spread
 from newsloom.sources import answers, cache, feeds
@@ -93,6 +93,19 @@ FROM a WHERE {sql_strip("o->>'title'")} <> '' AND regexp_matches({sql_strip("o->
 Q["llm_answer_sizes"] = lambda spark, d: read(spark, d, "llm_responses").select("response_id", F.size(answers.articles_of(F.col("body"))).cast("int").alias("n")).where("n >= 0")
 S["llm_answer_sizes"] = _ANSWERS + "SELECT response_id, len(j::JSON[])::INT AS n FROM v"
 
+
+
+def _envelopes(spark, d):
+    """Every answer inside the envelope that a provider sends, and read out of it again."""
+    part = F.when(F.col("body").isNotNull(), F.array(F.struct(F.col("body").alias("text")))).otherwise(F.array().cast("array<struct<text:string>>"))
+    reason = F.when(F.col("response_id") % 5 == 0, "MAX_TOKENS").otherwise("STOP")
+    raw = F.to_json(F.struct(F.array(F.struct(F.struct(part.alias("parts"), F.lit("model").alias("role")).alias("content"), reason.alias("finishReason"))).alias("candidates")))
+    return answers.from_envelope(read(spark, d, "llm_responses").select("response_id", raw.alias("raw")), "raw").select("response_id", "body", "truncated")
+
+
+Q["provider_envelope"] = _envelopes
+S["provider_envelope"] = "SELECT response_id, body, response_id % 5 = 0 AS truncated FROM llm_responses"
+
 Q["url_host_whitelist"] = lambda spark, d: answers.credible(news(spark, d).select("id", F.col("article_url").alias("url")), read(spark, d, "news_sources").where("priority <= 12"), "url", "host").select("id", answers.host(F.col("url")).alias("host"))
 _HOST = "replace(lower(regexp_extract(article_url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]+)', 1)), 'www.', '')"
 S["url_host_whitelist"] = f"""SELECT id, {_HOST} AS host FROM news_cache WHERE EXISTS (SELECT 1 FROM news_sources s WHERE priority <= 12 AND ({_HOST} = s.host OR ends_with({_HOST}, '.' || s.host)))"""
@@ -176,6 +189,10 @@ Q["top15_per_company"] = lambda spark, d: collect.capped(news(spark, d), 15).sel
 S["top15_per_company"] = "SELECT id, company_symbol, row_number() OVER (PARTITION BY company_symbol ORDER BY id) AS rank FROM news_cache QUALIFY rank <= 15"
 
 
+Q["newest_by_text"] = lambda spark, d: collect.capped(news(spark, d), 15, order=[F.desc(F.coalesce("published_date", F.lit(""))), F.col("id")]).select("id", "company_symbol", "rank")
+S["newest_by_text"] = "SELECT id, company_symbol, row_number() OVER (PARTITION BY company_symbol ORDER BY coalesce(published_date, '') DESC, id) AS rank FROM news_cache QUALIFY rank <= 15"
+
+
 def _union(spark, d):
     rss = collect.as_articles(news(spark, d))
     llm = answers.normalise(read(spark, d, "llm_responses")).select("company_symbol", "title", "description", "link", "published", "source")
@@ -316,6 +333,10 @@ k AS (SELECT n.*, s.score FROM news_cache n JOIN s USING (id) WHERE s.score >= 0
 Q["filter_pipeline_v0"] = lambda spark, d: filter_pipeline(spark, d, 0.2, version=0)
 S["filter_pipeline_v0"] = f"WITH RECURSIVE {COMPANIES}, sc AS ({_scored_sql('relevance_v0')}), k AS (SELECT n.*, sc.score FROM news_cache n JOIN sc USING (id) WHERE sc.score >= 0.2), " + _pipeline_sql().removeprefix("RECURSIVE ")
 
+Q["filter_stats"] = lambda spark, d: scores.filter_stats(spark)
+S["filter_stats"] = f"""SELECT 1 AS version, 0.05::DOUBLE AS relevance_threshold, 50 AS max_articles, 30 AS max_days, 0 AS total_keywords, {len(T.STOP_WORDS)} AS stop_words
+UNION ALL SELECT 0, 0.2, 50, 7, {sum(map(len, scores.KEYWORDS.values()))}, {len(T.STOP_WORDS)}"""
+
 # --- preparation -------------------------------------------------------------------------------------------------------
 Q["text_clean"] = lambda spark, d: news(spark, d).select("id", T.clean_for_model(F.col("article_content")).alias("content"))
 
@@ -395,6 +416,14 @@ p AS (SELECT *, x / (x + y + z) AS positive, z / (x + y + z) AS negative, CASE W
 Q["lexicon_labels"] = lambda spark, d: sentiment.scored(read(spark, d, "documents")).select("doc_id", "sentiment", F.round("scores.positive", 6).alias("positive"), F.round("scores.negative", 6).alias("negative"))
 S["lexicon_labels"] = _SCORED + "SELECT doc_id, sentiment, round(positive, 6) AS positive, round(negative, 6) AS negative FROM p"
 
+Q["model_labels"] = lambda spark, d: sentiment.scored_by_model(read(spark, d, "documents").select("doc_id", "text"), sentiment.hashed_model).select(
+    "doc_id", "sentiment", *[F.round(f"scores.{x}", 6).alias(x) for x in sentiment.LABELS])
+_VECTOR = lambda k: f"coalesce(list_avg(list_transform(ids, lambda x: ((x // {7919**k}) % 1009) / 1009.0::DOUBLE)), 0) * 10"
+S["model_labels"] = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:512] AS ws FROM documents WHERE {sql_strip('text')} <> ''),
+i AS (SELECT doc_id, list_transform(ws, lambda x: ('0x' || md5(x)[1:8])::BIGINT) AS ids FROM w), g AS (SELECT doc_id, {_VECTOR(0)} AS a, {_VECTOR(1)} AS b, {_VECTOR(2)} AS c FROM i),
+m AS (SELECT *, greatest(a, b, c) AS t FROM g), e AS (SELECT *, exp(a - t) AS x, exp(b - t) AS y, exp(c - t) AS z FROM m)
+SELECT doc_id, CASE WHEN a = t THEN 'positive' WHEN b = t THEN 'neutral' ELSE 'negative' END AS sentiment, round(x / (x + y + z), 6) AS positive, round(y / (x + y + z), 6) AS neutral, round(z / (x + y + z), 6) AS negative FROM e"""
+
 Q["verdict_by_company"] = lambda spark, d: verdict.shares(verdict.summary(sentiment.scored(read(spark, d, "documents")), ["company_symbol"]))
 S["verdict_by_company"] = _SCORED + """, v AS (SELECT company_symbol, count(*) AS chunk_count, count(*) FILTER (WHERE sentiment = 'positive') AS bullish, count(*) FILTER (WHERE sentiment = 'neutral') AS neutral,
   count(*) FILTER (WHERE sentiment = 'negative') AS bearish, avg(positive) - avg(negative) AS s FROM p GROUP BY company_symbol),
@@ -432,8 +461,9 @@ S["display_fields"] = f"""SELECT company_symbol, bullish_pct, CASE WHEN confiden
 Q["display_days"] = lambda spark, d: read(spark, d, "events").select("event_id", display.day(F.col("ts").cast("timestamp")).alias("day"))
 S["display_days"] = "SELECT event_id, strftime(ts, '%b %-d, %Y') AS day FROM events"
 
-Q["error_messages"] = lambda spark, d: read(spark, d, "events").select("event_type").distinct().select("event_type", display.error_message(F.col("event_type")).alias("message"))
-S["error_messages"] = f"SELECT DISTINCT event_type, '{display.OTHER_ERROR}' AS message FROM events"
+Q["error_messages"] = lambda spark, d: query_list(spark, tuple(display.ERRORS)).select(F.col("query").alias("event_type")).union(read(spark, d, "events").select("event_type").distinct()).select("event_type", display.error_message(F.col("event_type")).alias("message"))
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+S["error_messages"] = f"SELECT DISTINCT event_type, '{display.OTHER_ERROR}' AS message FROM events UNION ALL SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in display.ERRORS.items())}) AS e(event_type, message)"
 
 Q["search_prompts"] = lambda spark, d: companies(spark, d).select("symbol", display.prompt(F.col("company_name"), F.col("symbol"), ["a.example", "b.example"]).alias("prompt"))
 S["search_prompts"] = WITH + f"""SELECT symbol, replace(replace('{display.PROMPT.replace("{SOURCES}", "a.example, b.example")}', '{{NAME}}', company_name), '{{SYMBOL}}', symbol) AS prompt FROM companies"""

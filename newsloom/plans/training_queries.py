@@ -178,3 +178,17 @@ def _stream_ingest(spark, d):
 
 Q["stream_ingest"] = _stream_ingest
 S["stream_ingest"] = "SELECT event_type AS company_symbol, count(*) AS n, count(*) AS links FROM events GROUP BY event_type"
+
+
+def _stream_replace(spark, d):
+    """Two collections through the stream into a cache: the second brings clicks again, of which only those with even ids are left."""
+    path, check, drop = (shared_dir(spark, x) for x in ("cache", "cache-check", "cache-in"))
+    rows = read(spark, d, "events").select("event_id", F.col("event_type").alias("company_symbol"))
+    for some in (rows, rows.where("company_symbol = 'click' and event_id % 2 = 0")):
+        some.write.mode("append").parquet(drop)
+        streams.replacing(spark.readStream.schema(rows.schema).parquet(drop), path, check).awaitTermination()
+    return spark.read.parquet(path).groupBy("company_symbol").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least_id"))
+
+
+Q["stream_replace"] = _stream_replace
+S["stream_replace"] = "SELECT event_type AS company_symbol, count(*) AS n, min(event_id) AS least_id FROM events WHERE event_type <> 'click' OR event_id % 2 = 0 GROUP BY event_type"

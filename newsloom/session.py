@@ -88,9 +88,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Marks df for broadcast only after counting that it has at most max_rows rows; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000, max_bytes: int = 8 << 20) -> DataFrame:
+    """Marks df for broadcast only after measuring that it has at most max_rows rows and, written out, max_bytes bytes; a larger one is joined by shuffle."""
+    size = F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint"))
+    rows, length = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and length <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -16,6 +16,13 @@ def articles_of(body: Column) -> Column:
     return F.when(body.isNull(), None).otherwise(F.coalesce(F.when(text.startswith("["), F.from_json(text, ANSWER, {"mode": "PERMISSIVE"})), F.from_json(F.lit("[]"), ANSWER)))
 
 
+def from_envelope(rows: DataFrame, raw: str, into: str = "body") -> DataFrame:
+    """rows with the text of a provider's answer, candidates[0].content.parts[0].text, null where any of that is missing or it isn't JSON, and truncated: whether it stopped at its most tokens."""
+    first = "$.candidates[0]"
+    cut = F.coalesce(F.get_json_object(raw, f"{first}.finishReason") == "MAX_TOKENS", F.lit(False))
+    return rows.withColumns({into: F.get_json_object(raw, f"{first}.content.parts[0].text"), "truncated": cut})
+
+
 def host(url: Column) -> Column:
     """Host of an address with its port, lower case, every www. removed; null without scheme and host."""
     return F.replace(F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))), F.lit("www."), F.lit(""))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.sources.cache import replace_by_key
+
 
 def ingest(spark: SparkSession, folder: str, schema: str, event_time: str = "ts", key: str = "link", late: str = "1 day") -> DataFrame:
     """Articles dropped as Parquet files, the first of each key within the watermark."""
@@ -47,3 +49,12 @@ def recent(searches: DataFrame, user: str = "user_id", item: str = "symbol", ts:
         yield pd.DataFrame({user: [key[0]], "items": [items]})
 
     return searches.groupBy(user).applyInPandasWithState(update, f"{user} bigint, items array<string>", "items array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def replacing(rows: DataFrame, path: str, checkpoint: str, key: str = "company_symbol"):
+    """Writes a stream of whole collections to a cache table: each micro-batch replaces the rows of the keys it holds and leaves all others, until what is there is read."""
+
+    def replace(batch: DataFrame, number: int) -> None:
+        replace_by_key(batch, path, key)
+
+    return rows.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
