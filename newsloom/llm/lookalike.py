@@ -41,13 +41,29 @@ def _letters(text: str) -> bool:
     return all(unicodedata.category(c)[0] in "LM" for c in text)
 
 
-@lru_cache(maxsize=1)
-def mapping() -> dict[str, str]:
+#: Scripts whose letters' look-alikes come from the public table of confusables, beside the tables above.
+SCRIPTS = ("CHEROKEE", "COPTIC", "DESERET", "LISU", "LATIN LETTER SMALL CAPITAL")
+
+
+def confusables(spark: SparkSession) -> tuple[tuple[str, str], ...]:
+    """Letters of SCRIPTS that the Unicode table of confusables, which the engine's library for Unicode holds, draws as one Latin letter of the same case, with that letter."""
+    letters = [ch for ch in map(chr, range(0x80, 0x20000)) if unicodedata.category(ch) in ("Lu", "Ll", "Lo") and unicodedata.name(ch, "").startswith(SCRIPTS)]
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    out = []
+    for ch, form in zip(letters, checker.getSkeleton("\n".join(letters)).split("\n"), strict=True):
+        form = "I" if form == "l" and not ch.islower() else form
+        if len(form) == 1 and form.isascii() and form.isalpha() and not (ch.isupper() and form.islower() or ch.islower() and form.isupper()):
+            out.append((ch, form))
+    return tuple(out)
+
+
+@lru_cache(maxsize=2)
+def mapping(more: tuple[tuple[str, str], ...] = ()) -> dict[str, str]:
     """Every code point that has another form than itself, from the Unicode data and the tables above; checked for conflicts.
 
     A conflict is a form that is itself mapped on, or a letter that changes its case: both would let two forms of one text differ.
     """
-    alike = {**CYRILLIC, **GREEK, **ARMENIAN, **LATIN}
+    alike = {**dict(more), **CYRILLIC, **GREEK, **ARMENIAN, **LATIN}
     table: dict[str, str] = {}
     for c in range(sys.maxunicode + 1):
         if 0xD800 <= c <= 0xDFFF or 0xAC00 <= c <= 0xD7A3 or 0x4E00 <= c <= 0x9FFF:
@@ -105,10 +121,10 @@ def _class(chars: list[int]) -> str:
 _MARK = "[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿︠-︯]"
 
 
-@lru_cache(maxsize=1)
-def transducer():
+@lru_cache(maxsize=2)
+def transducer(more: tuple[tuple[str, str], ...] = ()):
     """The pattern of what may change, longest match first: line ends, clusters of a changing base with its marks, joiners; and the memo of clusters seen."""
-    table = mapping()
+    table = mapping(more)
     changing = _class(sorted(map(ord, table)))
     pattern = re.compile(rf"\r\n?|{changing}+{_MARK}*|.{_MARK}+|[{JOINERS}]", re.S)
     return pattern, table, {}
@@ -130,15 +146,15 @@ def _joins(text: str, at: int) -> bool:
 _PLAIN = re.compile(r"[\x00-\x08\x0e-\x1b\x7f\r]")
 
 
-def canonical(text: str) -> str:
-    """The one form of all texts that look like text.
+def canonical(text: str, more: tuple[tuple[str, str], ...] = ()) -> str:
+    """The one form of all texts that look like text. more: look-alikes beside the tables, what confusables gives.
 
     Widths, ligatures, kinds of space, letter-like signs, look-alike letters, composition of accents and characters that show
     nothing are brought to one form; case, accents, digits, words, punctuation and raised figures stay. A carriage return with or without a line feed is a line feed.
     """
     if text.isascii() and not _PLAIN.search(text):
         return text
-    pattern, table, memo = transducer()
+    pattern, table, memo = transducer(more)
 
     def form(m: re.Match) -> str:
         cluster = m.group()
@@ -168,14 +184,16 @@ def _digest(text: str) -> bytes:
 def canonical_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and its text in the one form; a null text stays null, an empty one empty. Repeated rows come out each; other columns are left out."""
 
+    more = confusables(docs.sparkSession)
+
     @F.arrow_udf("string")
     def to_form(t: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else canonical(x) for x in t.to_pylist()], pa.string())
+        return pa.array([None if x is None else canonical(x, more) for x in t.to_pylist()], pa.string())
 
     return docs.select(F.col(doc_id).alias("doc_id"), to_form(F.col(text)).alias("text"))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], more: tuple[tuple[str, str], ...]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         memo: dict = {}
         ids, look, exact = [], [], []
@@ -183,7 +201,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None:
                 continue
             if text not in memo:
-                out = canonical(text)
+                out = canonical(text, more)
                 memo[text] = (_digest(out), _digest(text)) if out.strip() else None
             if memo[text]:
                 ids.append(doc)
@@ -194,7 +212,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def look_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, look (key of the one form), exact (key of the text) of every text that shows something."""
-    return spread(docs.select(F.col(doc_id).cast("bigint"), F.col(text))).mapInArrow(_keys, "doc_id bigint, look binary, exact binary")
+    more = confusables(docs.sparkSession)
+    return spread(docs.select(F.col(doc_id).cast("bigint"), F.col(text))).mapInArrow(lambda batches: _keys(batches, more), "doc_id bigint, look binary, exact binary")
 
 
 def alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from newsloom.llm import bloom
 from newsloom.llm.prints import ragged
 from newsloom.llm.words import WordHashes, find_words, mix
 from newsloom.operators.components import components
-from newsloom.session import materialise, spread
+from newsloom.session import materialise, remove_dir, shared_dir, spread
 
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 30, 0.5
 FIRST, SECOND, SHARED = 12, 3, 2
@@ -358,14 +358,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIRED = "cls_a bigint, cls_b bigint, sig bigint, block int"
 
 
-def sharing(sigs: DataFrame, heavy_from: int = HEAVY) -> DataFrame:
+def sharing(sigs: DataFrame, path: str | None = None, heavy_from: int = HEAVY) -> DataFrame:
     """cls_a < cls_b for each signature that both have. sigs: sig and cls, repeated rows count once.
 
     Rows of a signature stream through a task in order. A signature with more than heavy_from classes, whose pairs would be too many for one task, is cut into blocks, and each two
     blocks are paired in a task of their own, so that no task holds more than 2 * heavy_from of them.
     """
     parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = materialise(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "cls").mapInArrow(lambda batches: _pair_up(batches, heavy_from), PAIRED), "sharing")
+    met = materialise(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "cls").mapInArrow(lambda batches: _pair_up(batches, heavy_from), PAIRED), "sharing", path)
     heavy = met.where("block is not null").select("sig", "block", F.col("cls_a").alias("cls"))
     blocks = heavy.groupBy("sig").agg(F.max("block").alias("last"))
     each = heavy.join(blocks, "sig").select("sig", "block", "cls", F.explode(F.sequence(F.lit(0), "last")).alias("with"))
@@ -375,8 +375,9 @@ def sharing(sigs: DataFrame, heavy_from: int = HEAVY) -> DataFrame:
 
 
 def similar_sets(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """cls_a < cls_b: the pairs of different sets with at least similarity of their union in common. table: what shingled gives, written."""
+    """cls_a < cls_b: the pairs of different sets with at least similarity of their union in common, written. table: what shingled gives, written."""
     spark = table.sparkSession
+    work = shared_dir(spark, "candidates")
     sets = table.where("shingles is not null")
     rows = table.count()
     bits = min(MOST_BITS, max(LEAST_BITS, rows.bit_length() + 1))
@@ -384,9 +385,9 @@ def similar_sets(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rare = RARE + max(1, sets.rdd.getNumPartitions())
     penalty = np.maximum(1.0, (np.maximum(counts - counts.mean(), 0) + 1) / rare).astype(np.float32)
     sigs = signatures(sets, penalty, probe_sketch(sets, bits))
-    shared = sharing(sigs)
-    met = materialise(shared.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("k")), "met")
-    pairs = materialise(met.where(f"k >= {SHARED}").select("cls_a", "cls_b").unionByName(_agreeing(met.where(f"k < {SHARED}"), sets)), "candidates")
+    shared = sharing(sigs, f"{work}/sharing")
+    met = materialise(shared.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("k")), "met", f"{work}/met")
+    pairs = materialise(met.where(f"k >= {SHARED}").select("cls_a", "cls_b").unionByName(_agreeing(met.where(f"k < {SHARED}"), sets)), "candidates", f"{work}/candidates")
 
     # the sets of candidates only, picked by a Bloom filter, go through the exact check
     wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls"))
@@ -400,7 +401,9 @@ def similar_sets(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     a = picked.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("sa"))
     b = picked.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("sb"))
     both = pairs.join(a, "cls_a").join(b, "cls_b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("cls_a", "cls_b")
+    links = materialise(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("cls_a", "cls_b"), "links")
+    remove_dir(spark, work)
+    return links
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -424,7 +427,7 @@ def near_duplicates(rows: DataFrame, row_id: str, title: str, content: str, simi
     sets are one class. Repeated ids come out each; other columns are left out; empty tables give empty results.
     """
     table = materialise(shingled(rows, row_id, title, content, size, least_words), "shingles")
-    return table.select("id", "cls"), materialise(similar_sets(table, similarity), "links")
+    return table.select("id", "cls"), similar_sets(table, similarity)
 
 
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def test_signatures_shared_by_many(spark, monkeypatch, heavy, rows_a_batch):
     assert single == sorted((s, c) for s, cs in of.items() if len(cs) > heavy for c in cs)
     assert sorted((r["cls_a"], r["cls_b"]) for r in made if r["block"] is None) == sorted((a, b) for cs in of.values() if len(cs) <= heavy for a in cs for b in cs if a < b)
     if rows_a_batch > 100:
-        got = n.sharing(spark.createDataFrame(rows, "sig long, cls long"), heavy)
+        got = n.sharing(spark.createDataFrame(rows, "sig long, cls long"), None, heavy)
         assert sorted(tuple(r) for r in got.collect()) == want
 
 

@@ -141,6 +141,15 @@ def test_forms_are_stable():
         assert look.canonical(look.canonical(ch)) == look.canonical(ch)
 
 
+def test_confusables_of_other_scripts(spark):
+    more = look.confusables(spark)
+    assert dict(more)["Ꮪ"] == "S" and dict(more)["ꓚ"] == "C" and dict(more)["ⲟ"] == "o" and dict(more)["ᴄ"] == "c" and len(more) > 60
+    table = look.mapping(more)
+    assert all(look.canonical(ch, more) == form for ch, form in more) and all(table[ch] == form for ch, form in more)
+    df = spark.createDataFrame([(1, "ᏚᎪᏞE 5"), (2, "SAL" + "E 5"), (3, "Москва"), (4, "रजत")], "doc_id long, text string")
+    assert [tuple(r) for r in look.alike_pairs(df).collect()] == [(1, 2)]
+
+
 def test_alike_pairs(spark):
     rows = [(1, "abc"), (2, "аbс"), (3, "abc"), (4, "ａｂｃ"), (5, None), (6, "​"), (7, " "), (8, "ABC"), (9, " "), (10, "x" * 50_000), (11, "x" * 50_000 + "​")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, look int")
