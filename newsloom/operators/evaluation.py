@@ -60,12 +60,25 @@ def stratified(rows: DataFrame, key: str, label: str, parts: dict[str, float], s
 
 #: Texts of the generator by label; parameters of generate.
 TEMPLATES = {
-    "positive": ("{COMPANY} lifts its margin by {X} per cent", "Order book of {COMPANY} grows to INR {AMT} crore", "{COMPANY} beats its Q{PERIOD} plan and buys {TARGET}"),
-    "neutral": ("{COMPANY} names a new auditor", "{COMPANY} will publish Q{PERIOD} figures on Friday", "{COMPANY} moves a unit to {TARGET}"),
-    "negative": ("{COMPANY} margin shrinks by {X} per cent", "{COMPANY} writes off INR {AMT} crore", "{COMPANY} misses its Q{PERIOD} plan and drops {TARGET}"),
+    "positive": (
+        "{COMPANY} lifts its margin by {X} per cent", "Order book of {COMPANY} grows to INR {AMT} crore", "{COMPANY} beats its Q{PERIOD} plan and buys {TARGET}", "Exports of {COMPANY} rise {X} per cent in Q{PERIOD}",
+        "{COMPANY} wins a contract of INR {AMT} crore", "Brokers see a surge of {X} per cent for {COMPANY}", "{COMPANY} repays INR {AMT} crore ahead of time", "Volume growth of {X} per cent at {COMPANY}",
+        "{COMPANY} and {TARGET} open a joint plant on schedule", "{COMPANY} raises its payout by {X} per cent after Q{PERIOD}",
+    ),
+    "neutral": (
+        "{COMPANY} names a new auditor", "{COMPANY} will publish Q{PERIOD} figures on Friday", "{COMPANY} moves a unit to {TARGET}", "Board of {COMPANY} meets to consider Q{PERIOD} accounts", "{COMPANY} keeps its outlook",
+        "{COMPANY} confirms talks with {TARGET}", "{COMPANY} holds {X} per cent of {TARGET}", "{COMPANY} files its yearly return", "{COMPANY} refinances INR {AMT} crore on like terms", "Trading in {COMPANY} steady around Q{PERIOD}",
+    ),
+    "negative": (
+        "{COMPANY} margin shrinks by {X} per cent", "{COMPANY} writes off INR {AMT} crore", "{COMPANY} misses its Q{PERIOD} plan and drops {TARGET}", "Sales of {COMPANY} fall {X} per cent in Q{PERIOD}",
+        "Shares of {COMPANY} plunge {X} per cent", "{COMPANY} faces a claim of INR {AMT} crore", "{COMPANY} sees a decline of {X} per cent in orders from {TARGET}",
+    ),
 }
-NAMES = ("Arunika Steel", "Belavadi Foods", "Chandori Power", "Dhruvaka Motors", "Ekaveni Pharma")
-TARGETS = ("Northgate Logistics", "Lakeside Cement", "Riverbend Energy")
+NAMES = tuple(f"{first} {trade}" for first in ("Arunika", "Belavadi", "Chandori", "Dhruvaka", "Ekaveni", "Falguna", "Girinagar", "Himsagar", "Indravati") for trade in ("Steel", "Foods", "Power"))
+TARGETS = ("Northgate Logistics", "Lakeside Cement", "Riverbend Energy", "Hillcrest Textiles", "Sandstone Mining", "Bluewater Ports", "Greenfield Seeds")
+# Words that tell the range of a percentage, and the ranges: of rising, of falling, of any other text.
+RISING, FALLING = ("rise", "increase", "growth", "surge"), ("decline", "drop", "fall", "plunge")
+RANGES = ((5, 35), (3, 25), (5, 20))
 
 
 def pick(n: Column, size: int, seed: int, of: str) -> Column:
@@ -84,10 +97,10 @@ def generate(spark: SparkSession, per_label: int, seed: int = 42, templates: dic
     for k, label in enumerate(labels):
         text = choose(templates[label], "template")
         template = F.when(n % len(labels) == k, text) if template is None else template.when(n % len(labels) == k, text)
-    values = {
-        "COMPANY": choose(names, "company"), "TARGET": choose(targets, "target"), "X": (pick(n, 31, seed, "x") + 5).cast("string"),
-        "AMT": (pick(n, 4901, seed, "amount") + 100).cast("string"), "PERIOD": (pick(n, 4, seed, "period") + 1).cast("string"),
-    }
+    template = fill_template(template, {"COMPANY": choose(names, "company"), "TARGET": choose(targets, "target")})
+    percent = lambda low, high: (pick(n, high - low + 1, seed, "x") + low).cast("string")
+    x = F.when(template.rlike("|".join(RISING)), percent(*RANGES[0])).when(template.rlike("|".join(FALLING)), percent(*RANGES[1])).otherwise(percent(*RANGES[2]))
+    values = {"X": x, "AMT": (pick(n, 4901, seed, "amount") + 100).cast("string"), "PERIOD": (pick(n, 4, seed, "period") + 1).cast("string")}
     label = F.get(F.array(*[F.lit(x) for x in labels]), (n % len(labels)).cast("int"))
     return rows.select("n", fill_template(template, values).alias("text"), label.alias("label"))
 

@@ -130,9 +130,14 @@ def _choose(items, of):
 
 
 _TEMPLATE = "CASE " + " ".join(f"WHEN n % 3 = {k} THEN {_choose(v, 'template')}" for k, v in enumerate(ev.TEMPLATES.values())) + " END"
-for _name, _value in (("COMPANY", _choose(ev.NAMES, "company")), ("TARGET", _choose(ev.TARGETS, "target")), ("X", f"({_pick(31, 'x')} + 5)::VARCHAR"), ("AMT", f"({_pick(4901, 'amount')} + 100)::VARCHAR"), ("PERIOD", f"({_pick(4, 'period')} + 1)::VARCHAR")):
+for _name, _value in (("COMPANY", _choose(ev.NAMES, "company")), ("TARGET", _choose(ev.TARGETS, "target"))):
     _TEMPLATE = f"replace({_TEMPLATE}, '{{{_name}}}', {_value})"
-S["synthetic_generate"] = f"SELECT n, {_TEMPLATE} AS text, ['positive', 'neutral', 'negative'][n % 3 + 1] AS label FROM range(1500) AS t(n)"
+_RANGE = lambda k: f"({_pick(ev.RANGES[k][1] - ev.RANGES[k][0] + 1, 'x')} + {ev.RANGES[k][0]})"
+_PERCENT = f"CASE WHEN regexp_matches(t, '{'|'.join(ev.RISING)}') THEN {_RANGE(0)} WHEN regexp_matches(t, '{'|'.join(ev.FALLING)}') THEN {_RANGE(1)} ELSE {_RANGE(2)} END"
+_FILLED = "t"
+for _name, _value in (("X", f"({_PERCENT})::VARCHAR"), ("AMT", f"({_pick(4901, 'amount')} + 100)::VARCHAR"), ("PERIOD", f"({_pick(4, 'period')} + 1)::VARCHAR")):
+    _FILLED = f"replace({_FILLED}, '{{{_name}}}', {_value})"
+S["synthetic_generate"] = f"SELECT n, {_FILLED} AS text, ['positive', 'neutral', 'negative'][n % 3 + 1] AS label FROM (SELECT n, {_TEMPLATE} AS t FROM range(1500) AS r(n)) AS u"
 
 
 def _pseudo(spark, d):
