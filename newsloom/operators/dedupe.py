@@ -157,6 +157,11 @@ def greedy(rows: DataFrame, title: str = "article_title", score: str = "relevanc
 
 def articles(rows: DataFrame, title: str = "article_title", description: str = "article_content", link: str = "article_url", score: str = "score", row_id: str = "id", within: str = "company_symbol") -> DataFrame:
     """row_id of the rows that stay by hash of cleaned title and description, then cleaned address, then alike headlines, in one sequence (see in_sequence)."""
-    staged = cleaned(rows, title, description)
-    words = F.array_sort(F.array_distinct(headline_words(F.col("_title"))))
-    return in_sequence(staged, row_id, within, article_hash(F.col("_title"), F.col("_description")), clean_url(F.coalesce(link, F.lit(""))), words, F.col(score))
+    staged = cleaned(rows, title, description).select(row_id, within, score, *sequence_keys(F.col("_title"), F.col("_description"), F.col(link)))
+    return in_sequence(staged, row_id, within, F.col("digest"), F.col("url"), F.col("words"), F.col(score))
+
+
+def sequence_keys(title: Column, description: Column, link: Column) -> list[Column]:
+    """digest, url and words of a cleaned title and description and an address: what in_sequence compares."""
+    words = F.array_sort(F.array_distinct(headline_words(title)))
+    return [article_hash(title, description).alias("digest"), clean_url(F.coalesce(link, F.lit(""))).alias("url"), words.alias("words")]

@@ -306,10 +306,11 @@ def filter_pipeline(spark, d, threshold: float = 0.05, most: int = 50, version:
         score = scores.boosted(scores.relevance(), raw, T.search_terms(F.col("company_symbol"), F.col("company_name")))
     else:
         score = scores.weighted_relevance()
-    # behind a generator, so that the filter doesn't compute the score a second time
-    rows = rows.select("id", "company_symbol", "article_title", "article_content", "article_url", "published_date", "_zone", "_day", F.inline(F.array(F.struct(F.round(score, 6).alias("score"))))).where(F.col("score") >= threshold)
+    # what the sequence compares is computed here once, so that no text is carried on; behind a generator, so that the filter doesn't compute the score a second time
+    keys = dedupe.sequence_keys(F.col("_title"), F.col("_description"), F.col("article_url"))
+    rows = rows.select("id", "company_symbol", "published_date", "_zone", "_day", *keys, F.inline(F.array(F.struct(F.round(score, 6).alias("score"))))).where(F.col("score") >= threshold)
     rows = materialise(rows, "scored")
-    kept = rows.join(dedupe.articles(rows), "id", "left_semi")
+    kept = rows.join(dedupe.in_sequence(rows, "id", "company_symbol", F.col("digest"), F.col("url"), F.col("words"), F.col("score")), "id", "left_semi")
     since = (F.lit(AS_OF).cast("timestamp") - F.expr(f"INTERVAL {MAX_DAYS} DAYS"))
     at = F.coalesce(F.timestamp_micros(parse_column(F.col("published_date"), F.col("_zone"), F.col("_day"))), F.lit(AS_OF).cast("timestamp"))
     dated = kept.where(F.trim("published_date") != "").select("*", F.inline(F.array(F.struct(at.alias("at"))))).where(F.col("at") >= since)
