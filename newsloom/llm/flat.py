@@ -46,7 +46,7 @@ class Folder:
         """Arrays of a file: pages of a local file are mapped, so that only what is looked at is read; elsewhere the file is fetched."""
         at = f"{self.path}/{name}"
         if self.local:
-            return view(np.memmap(at, np.uint8, "r"))
+            return view(np.asarray(np.memmap(at, np.uint8, "r")))
         with self.fs.open_input_file(at) as f:
             return view(np.frombuffer(f.read(), np.uint8))
 

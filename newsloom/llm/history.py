@@ -1,8 +1,11 @@
 """New batches checked for repeats against everything accepted so far, without working through the history again.
 
-A store keeps the fingerprints of the accepted articles in parts (prints.Part), each with Bloom filters over them. Each batch is one query: its items' fingerprints go to
+A store keeps the fingerprints of the accepted articles in parts (prints.Part), each with Bloom filters over them. A batch's items' fingerprints go to
 their parts; there the filters prescreen them, only positives are looked up, the shared coverage of the word sets is verified, and the batch's own fingerprints are
-left to be taken in. What is linked within the batch is resolved in order; the ids of the repeats go with the next batch to the parts, which leave them out.
+left to be taken in. What is linked within the batch is resolved in order; the repeats among them are left out of the parts.
+
+An article repeats one of its own company only, so that companies are dealt to shards, each with parts of its own. A task takes a shard through a stretch of batches, one after the
+other, beside the tasks of all other shards. A batch of which a shard has too much for one task is a query of its own with a task for each part; the ids of its repeats go with the next one to the parts.
 
 Fingerprints are selected as in winnowing: of a whole set of words only the least ones in a fixed order, rare words first, so many that two alike sets surely share some. With at
 least 0.8 of their union in common they share two of the first n - ceil(0.8 n) + 2 words, so that each pair of those words is a fingerprint. Above PAIR_WORDS words the
@@ -12,9 +15,10 @@ shared first word does instead. Both are exact: no alike headline is missed. A p
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +39,9 @@ PAIR_WORDS, SINGLE_WORDS = 64, 52
 ORDER_BITS = 16
 #: Conflicts within a batch that one task resolves; more are resolved by rounds of joins, with the same result.
 ONE_TASK = 1_000_000
-#: Items of a history for each part of its store, and the least number of parts.
-PART_ITEMS, LEAST_PARTS = 200_000, 4
-#: Items, and repeats of the batch before, that one task takes batch by batch through all steps without a shuffle. A larger batch is shuffled by part, with the same result.
+#: Items of a history for each part of its store, and the least number of shards.
+PART_ITEMS, LEAST_SHARDS = 200_000, 4
+#: Items of a shard, and repeats of the batch before, that one task takes batch by batch through all steps. A batch with a larger share is shuffled by part, with the same result.
 SMALL = 50_000
 #: The parts' runs are merged, a task for each part, when so many times the items of the last time were added.
 COMPACT = 1.5
@@ -72,26 +76,41 @@ def address_key(url: str | None) -> str | None:
     return f"{host}{path}?{'&'.join(kept)}" if kept else f"{host}{path}"
 
 
-def _hash(*parts: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))).astype(np.int64))
+_SIGNED = struct.Struct("<q").unpack
+
+
+def _hash(kind: str, group: bytes, key: bytes = b"") -> int:
+    return _SIGNED(xxhash.xxh3_64_digest(kind.encode() + group + key)[::-1])[0]
+
+
+class _Groups(dict):
+    """company -> hash of its group, as bytes and as a number."""
+
+    def __missing__(self, company: str | None) -> tuple[bytes, int]:
+        text = ("\x00" if company is None else company).encode("utf-8", "surrogatepass")
+        out = self[company] = xxhash.xxh3_64_digest(b"g" + text), _hash("g", text)
+        return out
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
-        ids, micros, addr, tset, words = b.column(0), [], [], [], []
-        for company, url, title, cached in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
-            group = "\x00" if company is None else company
-            at = parse_instant(cached, "Asia/Kolkata")
-            micros.append(LAST if at is None else at)
-            key = address_key(url)
-            addr.append(None if key is None else _hash("a", group, key))
-            own = sorted(set(find_words(title.lower()))) if title else []
-            tset.append(_hash("t", group, *own) if own else None)
-            words.append(np.sort(hashes.of(own).view(np.int64)) if own else None)
-        lists = pa.array(words, pa.list_(pa.int64()))
-        group = pa.array([_hash("g", "\x00" if c is None else c) for c in b.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, group, pa.array(micros, pa.int64()), pa.array(addr, pa.int64()), pa.array(tset, pa.int64()), lists], names=["id", "grp", "micros", "addr", "tset", "words"])
+        groups = _Groups()
+        company, url, title, cached = (b.column(k).to_pylist() for k in range(1, 5))
+        group = [groups[c] for c in company]
+        at = [parse_instant(x, "Asia/Kolkata") for x in cached]
+        micros = [LAST if x is None else x for x in at]
+        addr = [None if (key := address_key(x)) is None else _hash("a", g, key.encode("utf-8", "surrogatepass")) for x, (g, _) in zip(url, group)]
+        sets = [set(find_words(x.lower())) if x else () for x in title]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        words = hashes.of(list(chain.from_iterable(sets))).view(np.int64)
+        words = words[np.lexsort((words, np.repeat(np.arange(len(sets)), size)))]
+        offset = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        raw, ends = words.astype("<i8").tobytes(), (8 * offset).tolist()
+        tset = [_hash("t", g, raw[a:z]) if a < z else None for (g, _), a, z in zip(group, ends, ends[1:])]
+        lists = pa.ListArray.from_arrays(pa.array(offset), pa.array(words), mask=pa.array(size == 0))
+        own = [pa.array(x, pa.int64()) for x in ([g for _, g in group], micros, addr, tset)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *own, lists], names=["id", "grp", "micros", "addr", "tset", "words"])
 
 
 ITEM = "id bigint, grp bigint, micros bigint, addr bigint, tset bigint, words array<bigint>"
@@ -228,18 +247,26 @@ KILLED = "id bigint, parts array<int>, by_store boolean"
 class AcceptedStore:
     """The accepted articles at path: parts with their fingerprints and filters, and the repeats of each batch, whose folder also says that the batch is done."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = LEAST_PARTS):
-        self.spark, self.path, self.parts = spark, path or shared_dir(spark, "accepted"), parts
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: Sequence[int] = (1,) * LEAST_SHARDS):
+        """shards: how many parts each shard has, fixed when a store is made."""
+        self.spark, self.path, self.shards = spark, path or shared_dir(spark, "accepted"), np.array(shards)
         self._order, self._grown, self._merged = None, 0, 0
         marks = Folder(f"{self.path}/done")
         self._stretches = sorted(tuple(int(b) for b in name.split("_")) for name in marks.names() if name[0] != ".")
-        self.done = sorted(int(b) for a, z in self._stretches for b in marks.read(f"{a}_{z}")["batch"])
+        told = [marks.read(f"{a}_{z}") for a, z in self._stretches]
+        self.done = sorted(int(b) for x in told for b in x["batch"])
+        # the last batch, if the parts don't know its repeats yet
+        self._pending = None if not told or told[-1]["sealed"][0] else self.done[-1]
         kept = Folder(self.path)
         if "order" in kept.names():
             head = kept.read("order")
-            self.parts, self._order = int(head["parts"][0]), spark.sparkContext.broadcast(np.array(head["order"]))
+            self.shards, self._order = np.array(head["shards"]), spark.sparkContext.broadcast(np.array(head["order"]))
             self._clear()
 
+    @property
+    def parts(self) -> int:
+        return int(self.shards.sum())
+
     def _clear(self) -> None:
         """Removes what a call that failed has left of batches that aren't done."""
         last = self.done[-1] if self.done else -(2**62)
@@ -253,7 +280,7 @@ class AcceptedStore:
     def _start(self, items: DataFrame) -> None:
         """The order of words, from the first batch: all that is known then. Any fixed order is exact, rare words first make fewer positives."""
         order = word_order(items)
-        Folder(self.path).write("order", {"order": order, "parts": np.array([self.parts])})
+        Folder(self.path).write("order", {"order": order, "shards": self.shards})
         self._order = self.spark.sparkContext.broadcast(order)
 
     def killed(self, batch: int | None = None) -> DataFrame:
@@ -265,27 +292,27 @@ class AcceptedStore:
         return told if batch is None else told.where(F.col("batch") == batch)
 
     def _routed(self, items: DataFrame) -> DataFrame:
-        order, n_parts = self._order, self.parts
+        order, shards = self._order, self.shards
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield from _to_parts(b, order.value, n_parts)
+                yield _to_parts(b, order.value, shards)[1]
 
         return items.select("id", "grp", "micros", "addr", "tset", "words").mapInArrow(run, ROUTED)
 
     def add(self, batch: int, items: DataFrame, n: int | None = None) -> DataFrame:
         """Checks a batch that comes after all earlier ones and gives id, parts, by_store of its items that repeat an accepted article, earlier or of the batch.
 
-        batch: its number, larger than those before; items: what items_of gives; n: how many they are at most, counted if not given. One query reads the batch and, of
+        batch: its number, larger than those before; items: what items_of gives; n: how many a shard has of them at most, all of them if not given. One query reads the batch and, of
         the store, the filters and what they let pass. A batch that is already in the store isn't taken again: its result is read.
         """
         self.add_all([(batch, items.count() if n is None else n)], items.withColumn("batch", F.lit(batch).cast("bigint")))
         return self.killed(batch)
 
     def add_all(self, batches: list[tuple[int, int]], items: DataFrame) -> None:
-        """Takes several batches (number, items at most) in order, by the items' column batch, which should be one that folders are partitioned by.
+        """Takes several batches (number, items of a shard at most) in order, by the items' column batch, which should be one that folders are partitioned by.
 
-        A stretch of small batches is one query of one task, which takes one batch after the other; a larger batch is a query of its own with a task for each part.
+        A stretch of batches is one query with a task for each shard, which takes one batch after the other; a batch too large for that is a query of its own with a task for each part.
         """
         batches = [b for b in batches if b[0] not in self.done]
         if batches and self.done and batches[0][0] < self.done[-1]:
@@ -301,31 +328,33 @@ class AcceptedStore:
             own = items.where(F.col("batch").between(first, last))
             if self._order is None:
                 self._start(items.where(F.col("batch") == first))
-            previous = self.done[-1] if self.done else None
-            gone = None if previous is None else self.killed(previous).select("id", "parts")
+            gone = None if self._pending is None else self.killed(self._pending).select("id", "parts")
             if max(held, 0 if gone is None else gone.count()) <= SMALL:
-                self._in_one_task([b for b, _ in stretch], own.select("batch", *columns), gone, previous)
+                self._by_shards([b for b, _ in stretch], own.select("batch", *columns), gone)
             else:
-                self._by_parts(last, own.select(*columns), gone, previous)
+                self._by_parts(last, own.select(*columns), gone)
             self.done += [b for b, _ in stretch]
             self._grown += held
             if self._grown > COMPACT * self._merged + SMALL:
                 self._compact(last + 1)
 
-    def _in_one_task(self, batches: list[int], items: DataFrame, gone: DataFrame | None, previous: int | None) -> None:
-        path, order, n_parts = self.path, self._order, self.parts
+    def _by_shards(self, batches: list[int], items: DataFrame, gone: DataFrame | None) -> None:
+        path, order, shards, previous = self.path, self._order, self.shards, self._pending
         schema = pa.schema([(f, pa.int64()) for f in ("batch", "id", "grp", "micros", "addr", "tset")] + [("words", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
-        both = items.withColumn("parts", F.lit(None).cast("array<int>")) if gone is None else items.unionByName(gone, allowMissingColumns=True)
+        both = items.withColumns({"parts": F.lit(None).cast("array<int>"), "shard": F.pmod("grp", F.lit(len(shards))).cast("int")})
+        if gone is not None:
+            owner = F.lit(np.repeat(np.arange(len(shards)), shards).tolist())
+            both = both.unionByName(gone.withColumn("shard", F.get(owner, F.col("parts")[0]).cast("int")), allowMissingColumns=True)
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _day_by_day(path, pa.Table.from_batches(rows, schema), batches, previous, order.value, n_parts)
+            yield from _day_by_day(path, pa.Table.from_batches(rows, schema), batches, previous, order.value, shards)
 
-        told = both.coalesce(1).mapInArrow(run, KILLED + ", batch bigint")
+        told = both.repartitionById(len(shards), "shard").drop("shard").mapInArrow(run, KILLED + ", batch bigint")
         told.write.mode("overwrite").parquet(f"{path}/killed/upto={batches[-1]}")
-        self._mark(batches)
+        self._mark(batches, True)
 
-    def _by_parts(self, batch: int, items: DataFrame, gone: DataFrame | None, previous: int | None) -> None:
-        path = self.path
+    def _by_parts(self, batch: int, items: DataFrame, gone: DataFrame | None) -> None:
+        path, previous = self.path, self._pending
 
         def step(key: tuple, table: pa.Table) -> pa.Table:
             return _step(f"{path}/part-{key[0].as_py():05d}", table, batch, previous)
@@ -336,11 +365,12 @@ class AcceptedStore:
         conflicts = materialise(rows.groupBy("part").applyInArrow(step, CONFLICT), "conflicts", f"{path}/conflicts")
         told = conflicts.repartition(1).mapInArrow(resolve_in_task, KILLED) if conflicts.count() <= ONE_TASK else self._by_rounds(conflicts)
         told.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{path}/killed/upto={batch}")
-        self._mark([batch])
+        self._mark([batch], False)
 
-    def _mark(self, batches: list[int]) -> None:
+    def _mark(self, batches: list[int], sealed: bool) -> None:
         self._stretches.append((batches[0], batches[-1]))
-        Folder(f"{self.path}/done").write(f"{batches[0]}_{batches[-1]}", {"batch": np.array(batches)})
+        Folder(f"{self.path}/done").write(f"{batches[0]}_{batches[-1]}", {"batch": np.array(batches), "sealed": np.array([sealed])})
+        self._pending = None if sealed else batches[-1]
 
     def _compact(self, first: int) -> None:
         path = self.path
@@ -369,8 +399,8 @@ class AcceptedStore:
 ROUTED = "part int, id bigint, micros bigint, prints array<bigint>, words array<bigint>, keys array<bigint>, parts array<int>"
 
 
-def _to_parts(b: pa.RecordBatch, order: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """A row for each item and part that a fingerprint or key of it belongs to. words only where there are fingerprints; parts are all parts of the item."""
+def _to_parts(b: pa.RecordBatch, order: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
+    """A row for each item and part that a fingerprint or key of it belongs to, and the place of its item. words only where there are fingerprints; parts are all parts of the item."""
     ids, group, micros = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
     words = b.column(5).flatten().to_numpy(zero_copy_only=False)
     offset = np.concatenate([[0], np.cumsum(b.column(5).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -381,27 +411,26 @@ def _to_parts(b: pa.RecordBatch, order: np.ndarray, n_parts: int) -> Iterator[pa
         keys.append(b.column(k).fill_null(0).to_numpy(zero_copy_only=False)[valid])
         owner.append(np.flatnonzero(valid))
     keys, owner = np.concatenate(keys), np.concatenate(owner)
-    part = np.concatenate([(word % np.uint64(n_parts)).astype(np.int64), keys % n_parts])
     item, value, whole = np.concatenate([item, owner]), np.concatenate([prints, keys]), np.concatenate([np.zeros(len(prints), bool), np.ones(len(keys), bool)])
-    if not len(part):
-        return
+    shard = group[item] % len(shards)
+    part = (np.cumsum(shards) - shards)[shard] + (np.concatenate([word, keys.view(np.uint64)]) % shards[shard].astype(np.uint64)).astype(np.int64)
     by = np.lexsort((value, whole, part, item))
     part, item, value, whole = part[by], item[by], value[by], whole[by]
-    again = np.concatenate([[False], (part[1:] == part[:-1]) & (item[1:] == item[:-1]) & (value[1:] == value[:-1])])
+    again = np.concatenate([[False], (part[1:] == part[:-1]) & (item[1:] == item[:-1]) & (value[1:] == value[:-1])])[: len(part)]
     part, item, value, whole = part[~again], item[~again], value[~again], whole[~again]
-    begins = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (item[1:] != item[:-1])]))
-    n_whole = np.add.reduceat(whole.astype(np.int64), begins)
+    begins = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (item[1:] != item[:-1])])[: len(part)])
+    n_whole = np.add.reduceat(whole.astype(np.int64), begins) if len(part) else begins
     n_print = np.diff(np.concatenate([begins, [len(part)]])) - n_whole
     of, to = item[begins], part[begins]
     size = np.where(n_print > 0, np.diff(offset)[of], 0)
-    firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
     per_item = np.diff(np.concatenate([firsts, [len(of)]]))
     n_parts_of = np.repeat(per_item, per_item)
 
     def ragged_list(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
 
-    yield pa.RecordBatch.from_arrays([
+    return of, pa.RecordBatch.from_arrays([
         pa.array(to.astype(np.int32)), pa.array(ids[of]), pa.array(micros[of]), ragged_list(value[~whole], n_print), ragged_list(words[ragged(offset[of], size)], size),
         ragged_list(value[whole], n_whole), ragged_list(to[ragged(np.repeat(firsts, per_item), n_parts_of)].astype(np.int32), n_parts_of),
     ], names=["part", "id", "micros", "prints", "words", "keys", "parts"])
@@ -461,10 +490,13 @@ def _share(part: Part, rows: pa.Table, batch: int) -> pa.Table:
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
-def _day_by_day(path: str, table: pa.Table, batches: list[int], previous: int | None, order: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """The batches of a stretch one after the other, each through the filters, the store, its own order of acceptance, and into the parts. Rows without instant are the repeats of the batch before."""
+def _day_by_day(path: str, table: pa.Table, batches: list[int], previous: int | None, order: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A shard's share of a stretch, one batch after the other, each through the filters, the store, its own order of acceptance, and into the parts.
+
+    Rows without instant are the repeats of the batch before.
+    """
     is_item = table.column("micros").is_valid()
-    gone, items = table.filter(pc.invert(is_item)).select(["id", "parts"]), table.filter(is_item)
+    gone, items = table.filter(pc.invert(is_item)).select(["id", "parts"]), table.filter(is_item).combine_chunks()
     killed, at = gone.column("id").to_numpy(), np.empty(0, np.int32)
     if gone.num_rows:
         at, n = _lists(gone.column("parts"))
@@ -478,19 +510,21 @@ def _day_by_day(path: str, table: pa.Table, batches: list[int], previous: int |
 
     for k in np.unique(at).tolist():
         opened(k)
-    number = items.column("batch").to_numpy()
-    for batch in batches:
-        rows = items.filter(pa.array(number == batch)).select(["id", "grp", "micros", "addr", "tset", "words"]).combine_chunks()
-        conflicts = []
-        for routed in [x for b in rows.to_batches() for x in _to_parts(b, order, n_parts)]:
-            to, own = routed.column(0).to_numpy(), pa.Table.from_batches([routed])
-            for k in np.unique(to).tolist():
-                conflicts += _share(opened(k), own.filter(pa.array(to == k)), batch).to_batches()
+    shares: dict[int, list[tuple[int, pa.Table]]] = defaultdict(list)
+    for b in items.to_batches():
+        of, routed = _to_parts(b.select(["id", "grp", "micros", "addr", "tset", "words"]), order, shards)
+        number, to = b.column(0).to_numpy()[of], routed.column(0).to_numpy()
+        by = np.lexsort((to, number))
+        number, to, own = number[by], to[by], pa.Table.from_batches([routed]).take(pa.array(by)).combine_chunks()
+        ends = np.flatnonzero(np.concatenate([(number[1:] != number[:-1]) | (to[1:] != to[:-1]), [True]])[: len(to)]) + 1
+        for a, z in zip([0, *ends.tolist()], ends.tolist()):
+            shares[int(number[a])].append((int(to[a]), own.slice(a, z - a)))
+    for batch in sorted(shares):
+        conflicts = [x for k, own in shares[batch] for x in _share(opened(k), own, batch).to_batches()]
         for told in resolve_in_task(iter(conflicts)):
             ids = told.column(0).to_numpy()
-            for part in parts.values():
-                if batch != batches[-1]:
-                    part.seal(ids)
+            for k, _ in shares[batch]:
+                parts[k].seal(ids)
             yield pa.RecordBatch.from_arrays([*told.columns, pa.array(np.full(len(ids), batch))], names=[*told.schema.names, "batch"])
     for part in parts.values():
         part.publish()
@@ -512,8 +546,13 @@ def replay(rows: DataFrame, row_id: str, company: str, url: str, title: str, cac
     ready = materialise(ready, "ready", f"{path}/ready")
     # in order of batches, so that a stretch of them reads its own row groups
     items = materialise(items_of(ready).repartitionByRange("batch", "id").sortWithinPartitions("batch"), "items", f"{path}/items")
-    days = items.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").collect()  # a row a day
-    store = store or AcceptedStore(spark, f"{path}/store", max(LEAST_PARTS, sum(r.n for r in days) // PART_ITEMS))
+    if store is None:
+        n = max(LEAST_SHARDS, items.count() // PART_ITEMS)
+        # a shard with a company of many articles has several parts
+        held = {r.shard: r.n for r in items.groupBy(F.pmod("grp", F.lit(n)).alias("shard")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        store = AcceptedStore(spark, f"{path}/store", [max(1, held.get(k, 0) // PART_ITEMS) for k in range(n)])
+    by_shard = items.groupBy("batch", F.pmod("grp", F.lit(len(store.shards)))).agg(F.count(F.lit(1)).alias("n"))
+    days = by_shard.groupBy("batch").agg(F.max("n").alias("n")).orderBy("batch").collect()  # a row a day
     store.add_all([(int(r.batch), r.n) for r in days], items)
     return ready, items, store
 

@@ -15,7 +15,7 @@ from newsloom.llm.flat import Folder
 
 #: A run is merged with the one before it while that has less than so many times its fingerprints, and both together at most MERGED; larger ones are merged by compact.
 GROWTH, MERGED = 4, 500_000
-#: Pairs whose word sets are compared at once.
+#: Pairs whose word sets are compared at once; four times as many are made and held against the sets' marks.
 BLOCK = 200_000
 
 
@@ -27,10 +27,15 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Word sets of items as one array of sorted word hashes and offsets."""
+    """Word sets of items as one array of sorted word hashes and offsets, and 64 bits of each set, of which each word sets one."""
 
-    def __init__(self, ids: np.ndarray, offset: np.ndarray, words: np.ndarray):
+    def __init__(self, ids: np.ndarray, offset: np.ndarray, words: np.ndarray, marks: np.ndarray | None = None):
         self.ids, self.offset, self.words = ids, offset, words
+        if marks is None:
+            marks, some = np.zeros(len(ids), np.uint64), np.flatnonzero(np.diff(offset))
+            if len(some):
+                marks[some] = np.bitwise_or.reduceat(np.uint64(1) << (words.view(np.uint64) & np.uint64(63)), np.asarray(offset)[some])
+        self.marks = marks
 
     def size(self, k: np.ndarray) -> np.ndarray:
         return (self.offset[k + 1] - self.offset[k]).astype(np.int64)
@@ -51,26 +56,32 @@ def common_words(a: Sets, i: np.ndarray, b: Sets, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def maybe_alike(a: Sets, i: np.ndarray, b: Sets, j: np.ndarray) -> np.ndarray:
+    """Whether the sets a[i] and b[j] may be alike by their sizes and marks: a bit that only one of them has stands for a word at least that the other lacks."""
+    na, nb, x, y = a.size(i), b.size(j), a.marks[i], b.marks[j]
+    return 9 * np.minimum(na - np.bitwise_count(x & ~y), nb - np.bitwise_count(y & ~x)) >= 4 * (na + nb)
+
+
 def make_run(prints: np.ndarray, item: np.ndarray, sets: Sets, whole: np.ndarray) -> dict[str, np.ndarray]:
     """Arrays of a run: its fingerprints in order with the item of each, the items' sets, the keys that match as a whole, and the filter over both."""
     order = np.argsort(prints, kind="stable")
     whole = np.unique(whole)
     keys = np.concatenate([prints, whole])
     return {
-        "print": prints[order], "item": item[order].astype(np.int32), "id": sets.ids, "offset": sets.offset.astype(np.int64), "words": sets.words, "whole": whole,
+        "print": prints[order], "item": item[order].astype(np.int32), "id": sets.ids, "offset": sets.offset.astype(np.int64), "words": sets.words, "marks": sets.marks, "whole": whole,
         "bits": bloom.build(keys, bloom.size_for(len(keys))),
     }
 
 
 def sets_of(run: dict[str, np.ndarray]) -> Sets:
-    return Sets(run["id"], run["offset"], run["words"])
+    return Sets(run["id"], run["offset"], run["words"], run["marks"])
 
 
 def merge(runs: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     base = np.cumsum([0, *(len(r["id"]) for r in runs)])
     shift = np.cumsum([0, *(len(r["words"]) for r in runs)])
     offset = np.concatenate([[0], *(r["offset"][1:] + k for r, k in zip(runs, shift))])
-    sets = Sets(np.concatenate([r["id"] for r in runs]), offset, np.concatenate([r["words"] for r in runs]))
+    sets = Sets(np.concatenate([r["id"] for r in runs]), offset, np.concatenate([r["words"] for r in runs]), np.concatenate([r["marks"] for r in runs]))
     return make_run(np.concatenate([r["print"] for r in runs]), np.concatenate([r["item"] + k for r, k in zip(runs, base)]), sets, np.concatenate([r["whole"] for r in runs]))
 
 
@@ -144,11 +155,18 @@ class Part:
                 may = np.flatnonzero(bloom.contains(run["bits"], prints))
                 lo, hi = (np.searchsorted(run["print"], prints[may], side) for side in ("left", "right"))
                 self.rows_read += int((hi - lo).sum())
-                pairs = np.unique(np.stack([np.repeat(item[may], hi - lo), run["item"][ragged(lo, hi - lo)].astype(np.int64)]), axis=1)
-                if pairs.size:
-                    before = sets_of(run)
-                    common = common_words(sets, pairs[0], before, pairs[1])
-                    hit_item.append(pairs[0][9 * common >= 4 * (sets.size(pairs[0]) + before.size(pairs[1]))])
+                before, found = sets_of(run), []
+                ends = np.cumsum(hi - lo)
+                # pairs are made in blocks, however many items of the run share a fingerprint
+                cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, 4 * BLOCK), "right"))
+                for a, z in zip(cuts, [*cuts[1:], len(may)]):
+                    x, y = np.repeat(item[may[a:z]], hi[a:z] - lo[a:z]), run["item"][ragged(lo[a:z], hi[a:z] - lo[a:z])]
+                    near = maybe_alike(sets, x, before, y)
+                    found.append(np.unique(x[near] * len(before.ids) + y[near]))
+                if found:
+                    x, y = np.divmod(np.unique(np.concatenate(found)), len(before.ids))
+                    common = common_words(sets, x, before, y)
+                    hit_item.append(x[9 * common >= 4 * (sets.size(x) + before.size(y))])
             if len(run["whole"]) and len(whole):
                 may = np.flatnonzero(bloom.contains(run["bits"], whole))
                 at = np.minimum(np.searchsorted(run["whole"], whole[may]), len(run["whole"]) - 1)
@@ -181,8 +199,9 @@ def links_within(prints: np.ndarray, item: np.ndarray, micros: np.ndarray, sets:
         at = np.flatnonzero(count > 0)
         y = np.repeat(it[at], count[at])
         x = it[ragged((np.repeat(begins, length)[at] + skip[at]).astype(np.int64), count[at])]
-        a, b = np.minimum(x, y), np.maximum(x, y)
-        pairs = np.unique(np.stack([a, b]), axis=1)
+        near = maybe_alike(sets, x, sets, y)
+        x, y = x[near], y[near]
+        pairs = np.stack(np.divmod(np.unique(np.minimum(x, y) * len(sets.ids) + np.maximum(x, y)), len(sets.ids)))
         common = common_words(sets, pairs[0], sets, pairs[1])
         na, nb = sets.size(pairs[0]), sets.size(pairs[1])
         found.append(pairs[:, (9 * common >= 4 * (na + nb)) & ~((common == na) & (common == nb))])

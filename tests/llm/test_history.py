@@ -144,6 +144,52 @@ def test_history_is_not_read_again(tmp_path):
     assert max(runs) <= 8
 
 
+def test_pairs_compared_follow_the_repeats(tmp_path, monkeypatch):
+    """Each headline has the two rarest words of all, so that all share a fingerprint; word sets are compared only where the marks let them."""
+    store, order = f"file://{tmp_path}/part", np.ones(1 << h.ORDER_BITS, np.int64)
+    order[h.WordHashes().of(["name", "place"]).view(np.int64) & ((1 << h.ORDER_BITS) - 1)] = 0
+    compared = []
+    real = prints.common_words
+    monkeypatch.setattr(prints, "common_words", lambda a, i, b, j: compared.append(len(i)) or real(a, i, b, j))
+    title = lambda d, k: "name place " + " ".join(f"{x}{d}q{k}" for x in "abcdefghij")
+    for d in range(12):
+        titles = [title(d, k) for k in range(50)]
+        if d:
+            titles[:5] = [title(d - 1, k).replace(f"a{d - 1}q", f"z{d}q") for k in range(10, 15)]
+        hit, read, _ = one_day(store, d, titles, 1000 * d, order, d - 1 if d else None)
+        assert hit == (set(range(1000 * d, 1000 * d + 5)) if d else set())
+    assert read >= 50 * 500 and sum(compared) <= 500
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 3), (2, 30), (3, 200)])
+def test_marks_keep_all_alike(seed, n):
+    rng = np.random.default_rng(seed)
+    words = [np.sort(rng.choice(2**40, n, replace=False)) for _ in range(60)]
+    for k in range(0, 60, 2):
+        kept = words[k][rng.permutation(n)[: n - rng.integers(0, n // 5 + 1)]]
+        words[k + 1] = np.unique(np.concatenate([kept, rng.integers(0, 2**40, rng.integers(0, n // 5 + 1))]))
+    sets = prints.Sets(np.arange(60), np.concatenate([[0], np.cumsum([len(w) for w in words])]), np.concatenate(words))
+    i, j = (x.ravel() for x in np.mgrid[:60, :60])
+    alike = 9 * prints.common_words(sets, i, sets, j) >= 4 * (sets.size(i) + sets.size(j))
+    assert alike[i != j].any() and prints.maybe_alike(sets, i, sets, j)[alike].all()
+
+
+@pytest.mark.parametrize("small", [60, 25])
+def test_shards_of_companies(spark, monkeypatch, small):
+    """One company has half of all articles. A shard's task takes as much as one task may, and a day that is too large for that is shuffled by part."""
+    monkeypatch.setattr(h, "SMALL", small)
+    monkeypatch.setattr(h, "PART_ITEMS", 40)
+    rows = [(i, f"C{i % 40}" if i % 2 else "A", *rest) for i, _, *rest in made(small, 400)]
+    path = h.shared_dir(spark, "sharded")
+    ready, items, store = h.replay(spark.createDataFrame(rows, SCHEMA), *COLUMNS, path)
+    n = items.count()
+    assert len(store.shards) == n // 40 and store.shards.max() >= 2
+    assert len(store._stretches) < n / small or small < 60  # as the largest shard needs, not as all together
+    accepted = {r.id for r in items.join(store.killed(), ["batch", "id"], "left_anti").collect()} | {r.id for r in ready.where("addr is null and tset is null").collect()}
+    assert {r[0] for r in rows} - accepted == {r.id for r in h.repeats(spark.createDataFrame(rows, SCHEMA), *COLUMNS).collect()} == brute(rows)
+    assert h.AcceptedStore(spark, store.path).shards.tolist() == store.shards.tolist()
+
+
 def test_a_task_may_be_repeated(tmp_path):
     store, order = f"file://{tmp_path}/part", np.zeros(1 << h.ORDER_BITS, np.int64)
     titles = [[f"x{d}{k} y{d}{k} z{d}{k} v{d}{k} u{d}{k}" for k in range(20)] for d in range(4)]
